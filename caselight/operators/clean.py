@@ -21,10 +21,11 @@ def clean_forms(df: DataFrame, key: str = "id", is_batch: Column | None = None)
     """Clean every text column of a form table by its field class.
 
     Absent values (null, empty text) become null. ``reporter_name`` is filled when blank or
-    ``MISSING``, except on a row where no field at all is present. One projection, no shuffle.
+    ``MISSING``, except on a row where no field at all is present. Columns whose name starts with
+    an underscore are carried along. One projection, no shuffle.
     """
     batch = F.lit(False) if is_batch is None else F.coalesce(is_batch, F.lit(False))
-    fields = [f for f in df.schema.fields if f.name != key]
+    fields = [f for f in df.schema.fields if f.name != key and not f.name.startswith("_")]
     texts = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
 
     def cleaned(name: str) -> Column:
