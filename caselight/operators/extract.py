@@ -1,7 +1,7 @@
 """Labelled fields from report text, and cases from line listings.
 
-Each field is one column expression over the whole text. A cheap substring test guards the
-regexes of a label, and candidates sit in an array whose first usable element is taken.
+Each field is one expression over the whole text, written as Spark SQL. A cheap substring test
+guards the regexes of a label, and ``coalesce`` stops at the first label that yields a value.
 """
 
 from __future__ import annotations
@@ -10,7 +10,8 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from caselight.functions.presence import present_truthy, strip
+from caselight.functions.presence import WHITESPACE, strip
+from caselight.functions.quality import is_binary_junk
 from caselight.functions.text import case_field_of, code_to_bool, normalize_gender
 from caselight.schemas import (
     CASE_RULES,
@@ -26,174 +27,199 @@ from caselight.schemas import (
     VALUE_FORMATS,
 )
 
-_CLASSES = "(?dU)"
-_ANYCASE = "(?dimuU)"
 CASE_MARKER = r"(?:Case\s+ID|Case)\s*:?\s*([A-Z0-9\-]+)"
 _SENTINEL = "\ue0ff"
 
+# Unicode white space spelled out: far cheaper to match than the Unicode class mode.
+_SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_STRIPPED = "'" + "".join(f"\\u{ord(c):04x}" for c in WHITESPACE) + "'"
 
-def _extract(c: Column, regex: str, group: int = 1) -> Column:
-    return F.regexp_extract(c, regex, group)
 
+def _rx(pattern: str, flags: str = "d") -> str:
+    """A regex as a raw SQL literal, ``\\s`` meaning Unicode white space."""
+    outside = re.sub(r"\[[^\]]*\]|\\s", lambda m: _SPACE if m.group(0) == r"\s" else m.group(0), pattern)
+    return f'r"(?{flags}){outside}"'
 
-def _first(candidates: list[Column], test) -> Column:
-    return F.get(F.filter(F.array(*candidates), test), 0)
 
+def _strip(value: str) -> str:
+    return f"btrim({value}, {_STRIPPED})"
 
-def _label_regex(label: str, whole_word: bool) -> str:
-    core = re.escape(label)
-    return rf"(?<!\w){core}" if whole_word else core
 
+def _extract(text: str, pattern: str, flags: str = "di", group: int = 1) -> str:
+    return f"regexp_extract({text}, {_rx(pattern, flags)}, {group})"
 
-def _label_values(text: Column, lowered: Column, label: str, whole_word: bool) -> list[Column]:
-    """Values after ``label`` in three layouts: separator, next line, dash.
+
+def _usable(value: str, test: str) -> str:
+    """``value`` where it passes a test on ``v``, else null; the value is computed once."""
+    return f"get(filter(array({value}), v -> {test}), 0)"
+
+
+def _layouts(text: str, label: str, whole_word: bool) -> list[str]:
+    """Values after a label in three layouts: separator, next line, dash.
 
     A multi-line layout with the same separator always stops at the line end as well, so it
-    equals the first one. Values below two characters come back empty.
+    equals the first one.
     """
-    name = _label_regex(label, whole_word)
-    layouts = [rf"{name}\s*[:=]\s*([^\n]+)", rf"{name}\s*\n\s*([^\n]+)", rf"{name}\s*-\s*([^\n]+)"]
-    guard = lowered.contains(label.lower())
+    name = (r"(?<![A-Za-z0-9_])" if whole_word else "") + re.escape(label)
+    tails = [r"\s*[:=]\s*([^\n]+)", r"\s*\n\s*([^\n]+)", r"\s*-\s*([^\n]+)"]
+    tidy = _rx(r"\s+(?:and|or|a|the|with)\s+[A-Z][a-z]+\s*:")
+    return [
+        _strip(f"regexp_replace({_strip(_extract(text, name + tail, 'dim'))}, {tidy}, ' ')") for tail in tails
+    ]
+
 
-    def value(layout: str) -> Column:
-        raw = strip(_extract(text, _ANYCASE + layout))
-        tidy = strip(F.regexp_replace(raw, _CLASSES + r"\s+(?:and|or|a|the|with)\s+[A-Z][a-z]+\s*:", " "))
-        return F.when(guard, tidy)
+def _field_sql(
+    text: str, lowered: str, labels: list[str], kind: str | None, min_chars: int, whole_word: bool, full_year: bool
+) -> str:
+    def guarded(label: str, value: str) -> str:
+        return f"CASE WHEN contains({lowered}, '{label.lower()}') THEN {value} END"
 
-    return [value(layout) for layout in layouts]
+    long_enough = f"length(v) >= {min_chars}"
+    if kind is None:
+        values = [
+            guarded(label, "coalesce(" + ", ".join(_usable(v, long_enough) for v in _layouts(text, label, whole_word)) + ")")
+            for label in labels
+        ]
+        return f"substring(coalesce({', '.join(values)}), 1, 500)"
+
+    fmt = VALUE_FORMATS[kind]
+    if kind == "date" and full_year:
+        fmt = rf"(?:\d{{4}}-\d{{2}}-\d{{2}}|{fmt})"
+    fmt = _rx(fmt)
+
+    def candidates(label: str) -> str:
+        values = f"filter(array({', '.join(_layouts(text, label, whole_word))}), v -> {long_enough})"
+        typed = (
+            f"transform({values}, v -> named_struct('hit', substring(v, 1, 500) rlike {fmt}, "
+            f"'v', {_strip(f'regexp_extract(substring(v, 1, 500), {fmt}, 0)')}))"
+        )
+        # A match that is blank after trimming is no candidate at all.
+        return guarded(label, f"filter({typed}, s -> NOT s.hit OR s.v <> '')")
+
+    def rest(i: int) -> str:
+        """First match among the labels from i on."""
+        hits = [f"get(filter({candidates(label)}, s -> s.hit), 0).v" for label in labels[i:]]
+        return f"coalesce({', '.join(hits)})" if hits else "CAST(NULL AS STRING)"
+
+    def search(i: int) -> str:
+        """Labels from i on while nothing was found: a first miss closes its own label."""
+        if i == len(labels):
+            return "CAST(NULL AS STRING)"
+        return (
+            f"get(transform(array({candidates(labels[i])}), a{i} -> CASE WHEN coalesce(size(a{i}), 0) <= 0 THEN {search(i + 1)} "
+            f"WHEN a{i}[0].hit THEN a{i}[0].v ELSE {rest(i + 1)} END), 0)"
+        )
+
+    return search(0)
 
 
 def labelled_field(
-    text: Column, lowered: Column, labels: list[str], kind: str | None = None,
+    text: str, lowered: str, labels: list[str], kind: str | None = None,
     min_chars: int = 2, whole_word: bool = False, full_year: bool = False,
 ) -> Column:
     """Value of the first label that yields one; null when none does.
 
-    A typed field takes the first value whose format matches. The very first value that does not
-    match closes its own label, so later layouts of that label are not looked at.
+    ``text`` and ``lowered`` name the text column and its lower-case copy. A typed field takes
+    the first value whose format matches. The very first value that does not match closes its
+    own label, so later layouts of that label are not looked at. ``whole_word`` keeps labels from
+    matching inside longer words and ``full_year`` keeps four-digit years whole.
     """
-    groups = [_label_values(text, lowered, label, whole_word) for label in labels]
-    usable = lambda v: F.length(v) >= min_chars
-    if kind is None:
-        return F.substring(_first([v for g in groups for v in g], usable), 1, 500)
+    return F.expr(_field_sql(text, lowered, labels, kind, min_chars, whole_word, full_year))
 
-    fmt = VALUE_FORMATS[kind]
-    if kind == "date" and full_year:
-        fmt = rf"(?:\d{{4}}-\d{{2}}-\d{{2}}|{fmt})"
-    candidates = [
-        F.struct(F.lit(i).alias("label"), F.substring(v, 1, 500).alias("value"))
-        for i, g in enumerate(groups)
-        for v in g
-    ]
-    present = F.filter(F.array(*candidates), lambda s: F.length(s["value"]) >= min_chars)
-    typed = F.transform(
-        present,
-        lambda s: F.struct(
-            s["label"].alias("label"),
-            s["value"].rlike(_CLASSES + fmt).alias("matches"),
-            strip(F.regexp_extract(s["value"], _CLASSES + fmt, 0)).alias("value"),
-        ),
-    )
-    # A match that is blank after trimming is no candidate at all.
-    real = F.filter(typed, lambda s: ~s["matches"] | (s["value"] != ""))
-    head = F.get(real, 0)
-    hits = F.filter(real, lambda s: s["matches"] & (head["matches"] | (s["label"] != head["label"])))
-    return F.get(hits, 0)["value"]
 
-
-def drug_name(text: Column, lowered: Column, **options) -> Column:
+def drug_name(text: str, lowered: str, **options) -> Column:
     """Labels, else the first Drug-code or run of capitalised words, else a marked line's value."""
-    run = _extract(text, _CLASSES + r"\b(Drug-[A-Z0-9]+|[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\b")
-    lines = F.filter(F.split(text, "\n"), lambda l: F.upper(l).rlike("DRUG|MEDICATION|SUSPECT"))
+    body = F.col(text)
+    run = F.expr(_extract(text, r"\b(Drug-[A-Z0-9]+|[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\b", "d"))
+    lines = F.filter(F.split(body, "\n"), lambda l: F.upper(l).rlike("DRUG|MEDICATION|SUSPECT"))
     values = F.transform(lines, lambda l: strip(F.regexp_extract(l, r"(?s)[:=\-](.*)$", 1)))
     marked = F.get(F.filter(values, lambda v: F.length(v).between(3, 99)), 0)
-    return F.coalesce(
-        labelled_field(text, lowered, DRUG_LABELS, **options), F.nullif(run, F.lit("")), marked
-    )
+    return F.coalesce(labelled_field(text, lowered, DRUG_LABELS, **options), F.nullif(run, F.lit("")), marked)
 
 
-def adverse_reaction(text: Column, lowered: Column) -> Column:
+def adverse_reaction(text: str, lowered: str) -> Column:
     """Line after a reaction label, at least five characters and not starting like a date."""
-    stop = r"(?=\n(?:Event|Date|Severity|Outcome|Drug|Report|Patient)|\z)"
-    candidates = []
+    stops = [r"(?=\n(?:Event|Date|Severity|Outcome|Drug|Report|Patient)|\z)", r"(?:\n|$)"]
+    test = "length(v) >= 5 AND NOT v rlike " + _rx(r"^\d{4}[-/]\d{2}")
+    values = []
     for label in REACTION_LABELS:
-        guard = lowered.contains(label.lower())
-        for tail in (stop, r"(?:\n|$)"):
-            regex = rf"(?dimsuU){re.escape(label)}\s*:?\s*([^\n]+?){tail}"
-            candidates.append(F.when(guard, strip(_extract(text, regex))))
-    return _first(candidates, lambda v: (F.length(v) >= 5) & ~v.rlike(r"^\d{4}[-/]\d{2}"))
+        tried = [
+            _usable(_strip(_extract(text, rf"{re.escape(label)}\s*:?\s*([^\n]+?){stop}", "dims")), test) for stop in stops
+        ]
+        values.append(f"CASE WHEN contains({lowered}, '{label.lower()}') THEN coalesce({', '.join(tried)}) END")
+    return F.expr(f"coalesce({', '.join(values)})")
 
 
-def reporter_name(text: Column, lowered: Column, **options) -> Column:
+def reporter_name(text: str, lowered: str, **options) -> Column:
     """Labels, then titled names, then a title and the rest of its line."""
-    anycase = "(?diuU)"
-    title = r"Dr|Mr|Ms|Prof|Mrs"
-    name = r"[A-Za-z\s\.]+?"
-    after_label = rf"(?:Reporter|Submitted|Contact|Investigator).*?:\s*((?:{title})\.\s+{name})(?:\n|,|$)"
-    titled = rf"(?:{title})\.\s+({name})(?:\n|,|$)"
-    reporter = rf"Reporter\s*:\s*({name})(?:\n|$)"
-    submitted = rf"Submitted\s+By\s*:\s*({name})(?:\n|$)"
-    rest = rf"(?:{title})\s+({name})(?:\n|\z)"
-    bare = ["dr", "mr", "ms", "prof", "mrs"]
-    candidates = [strip(_extract(text, anycase + r)) for r in (after_label, titled, reporter, submitted, rest)]
-    named = _first(candidates, lambda v: F.length(v).between(3, 99) & ~F.lower(v).isin(bare))
-    return F.coalesce(labelled_field(text, lowered, REPORTER_LABELS, **options), named)
-
-
-def _context_date(text: Column, lowered: Column, labels: list[str], before: str, after: str, last: bool, **options) -> Column:
-    anycase = "(?diuU)"
-    months = [
+    title = "Dr|Mr|Ms|Prof|Mrs"
+    name = rf"(?:[A-Za-z.]|{_SPACE})+?"
+    patterns = [
+        rf"(?:Reporter|Submitted|Contact|Investigator).*?:\s*((?:{title})\.\s+{name})(?:\n|,|$)",
+        rf"(?:{title})\.\s+({name})(?:\n|,|$)",
+        rf"Reporter\s*:\s*({name})(?:\n|$)",
+        rf"Submitted\s+By\s*:\s*({name})(?:\n|$)",
+        rf"(?:{title})\s+({name})(?:\n|\z)",
+    ]
+    test = "length(v) BETWEEN 3 AND 99 AND lower(v) NOT IN ('dr', 'mr', 'ms', 'prof', 'mrs')"
+    named = ", ".join(_usable(_strip(_extract(text, p)), test) for p in patterns)
+    return F.coalesce(labelled_field(text, lowered, REPORTER_LABELS, **options), F.expr(f"coalesce({named})"))
+
+
+def _context_date(text: str, lowered: str, labels: list[str], before: str, after: str, last: bool, **options) -> Column:
+    patterns = [
         rf"(?:{before}).*?(\d{{1,2}}\s+{MONTH_NAME}\s+\d{{4}})",
         rf"(?:{before}).*?({MONTH_NAME}\s+\d{{1,2}},?\s+\d{{4}})",
         rf"(?:{before})\D{{0,20}}({NUMERIC_DATE})",
         rf"({NUMERIC_DATE})\D{{0,30}}(?:{after})",
     ]
-    near = [_extract(text, anycase + r) for r in months]
-    dates = F.regexp_extract_all(text, F.lit(_CLASSES + NUMERIC_DATE), F.lit(0))
-    anywhere = F.try_element_at(dates, F.lit(-1 if last else 1))
-    return F.coalesce(
-        labelled_field(text, lowered, labels, "date", **options), _first(near, lambda v: v != ""), anywhere
-    )
+    near = ", ".join(_usable(_extract(text, p), "v <> ''") for p in patterns)
+    anywhere = f"try_element_at(regexp_extract_all({text}, {_rx(NUMERIC_DATE)}, 0), {-1 if last else 1})"
+    return F.coalesce(labelled_field(text, lowered, labels, "date", **options), F.expr(f"coalesce({near}, {anywhere})"))
 
 
-def onset_date(text: Column, lowered: Column, **options) -> Column:
+def onset_date(text: str, lowered: str, **options) -> Column:
     words = "Onset|Reaction|Symptom|Adverse"
     return _context_date(text, lowered, ONSET_LABELS, words, words.lower(), False, **options)
 
 
-def report_date(text: Column, lowered: Column, **options) -> Column:
+def report_date(text: str, lowered: str, **options) -> Column:
     return _context_date(
         text, lowered, REPORT_DATE_LABELS, "Report|Submitted|Filed", "report|submit|filed", True, **options
     )
 
 
+def with_lowered(df: DataFrame, text: str = "text") -> DataFrame:
+    """The frame with a lower-case copy of its text, which the label tests read."""
+    return df.withColumn("_lowered", F.lower(F.col(text)))
+
+
 def parse_reports(df: DataFrame, text: str = "text", short_fields_min_chars: int = 2, whole_word: bool = False, full_year: bool = False) -> DataFrame:
     """Add the thirty report fields; texts under 100 characters give none.
 
     ``short_fields_min_chars=1`` keeps one-character genders and ages.
     """
-    prepared = df.withColumn("_lowered", F.lower(F.col(text)))
-    body, lowered = F.col(text), F.col("_lowered")
-    long_enough = F.length(strip(body)) >= MIN_TEXT_CHARS
-    plain = {"whole_word": whole_word}
-    dated = plain | {"full_year": full_year}
+    prepared = with_lowered(df, text)
+    low = "_lowered"
+    long_enough = F.length(strip(F.col(text))) >= MIN_TEXT_CHARS
+    plain = {"min_chars": 2, "whole_word": whole_word, "full_year": full_year}
     special = {
-        "drug_name": drug_name(body, lowered, **plain),
-        "adverse_reaction": adverse_reaction(body, lowered),
-        "onset_date": onset_date(body, lowered, **dated),
-        "reporter_name": reporter_name(body, lowered, **plain),
-        "report_date": report_date(body, lowered, **dated),
+        "drug_name": drug_name(text, low, **plain),
+        "adverse_reaction": adverse_reaction(text, low),
+        "onset_date": onset_date(text, low, **plain),
+        "reporter_name": reporter_name(text, low, **plain),
+        "report_date": report_date(text, low, **plain),
     }
 
     def value(name: str) -> Column:
         if name in special:
             return special[name]
         labels, kind = REPORT_FIELDS[name]
-        size = short_fields_min_chars if name in ("patient_gender", "patient_age") else 2
-        return labelled_field(body, lowered, labels, kind, min_chars=size, **dated)
+        short = name in ("patient_gender", "patient_age")
+        return labelled_field(text, low, labels, kind, **(plain | {"min_chars": short_fields_min_chars if short else 2}))
 
     fields = {name: F.when(long_enough, F.nullif(value(name), F.lit(""))) for name in REPORT_FIELDS}
-    return prepared.withColumns(fields).drop("_lowered")
+    return prepared.withColumns(fields).drop(low)
 
 
 def split_cases(df: DataFrame, text: str = "text") -> DataFrame:
@@ -208,31 +234,56 @@ def split_cases(df: DataFrame, text: str = "text") -> DataFrame:
     out = df.filter(long_enough).select(
         *[c for c in df.columns if c != text], F.posexplode(rest).alias("pos", "block")
     )
-    return out.withColumn("marker_id", _extract(F.col("block"), f"(?diuU)^{CASE_MARKER}"))
+    return out.withColumn("marker_id", F.regexp_extract("block", f"(?diuU)^{CASE_MARKER}", 1))
 
 
-def parse_cases(df: DataFrame, text: str = "text", min_fields: int = 8) -> DataFrame:
-    """Line listing cases with at least eight of the eleven fields present."""
+def _let(value: Column, use) -> Column:
+    """``use(value)`` as a one-element array, with ``value`` evaluated once per row."""
+    return F.transform(F.array(value), use)
+
+
+def _case_pairs(block: Column) -> Column:
+    """(field, value) of every ``name: value`` line whose name holds a known label."""
+    lines = F.filter(F.transform(F.split(block, "\n"), strip), lambda l: l.contains(":"))
     pairs = F.transform(
-        F.filter(F.transform(F.split(F.col("block"), "\n"), strip), lambda l: l.contains(":")),
+        lines,
         lambda l: F.struct(
-            case_field_of(F.regexp_extract(l, r"(?s)^([^:]*):", 1)).alias("field"),
-            strip(F.regexp_extract(l, r"(?s)^[^:]*:(.*)$", 1)).alias("value"),
+            case_field_of(F.substring_index(l, ":", 1)).alias("field"),
+            strip(F.substring(l, F.instr(l, ":") + 1, F.length(l))).alias("value"),
         ),
     )
-    staged = split_cases(df, text).withColumn("_pairs", F.filter(pairs, lambda p: p["field"].isNotNull()))
+    return F.filter(pairs, lambda p: p["field"].isNotNull())
+
 
-    def last(name: str) -> Column:
-        hits = F.filter(F.col("_pairs"), lambda p: p["field"] == name)
-        return F.try_element_at(hits, F.lit(-1))["value"]
+def parse_cases(df: DataFrame, text: str = "text", min_fields: int = 8) -> DataFrame:
+    """Line listing cases with at least eight of the eleven fields present.
+
+    A later line of a field overwrites an earlier one. The block is parsed inside the generator,
+    so the filter on present fields cannot be pushed below it and parse the block again.
+    """
+    blocks = split_cases(df, text)
 
-    values = {name: last(name) for name in CASE_RULES}
-    values["case_id"] = F.coalesce(values["case_id"], F.col("marker_id"))
-    values["patient_gender"] = F.when(values["patient_gender"].isNotNull(), normalize_gender(values["patient_gender"]))
-    values["dechallenge_performed"] = code_to_bool(values["dechallenge_performed"])
-    cases = staged.withColumns(values).drop("_pairs", "block", "marker_id")
-    present = sum((present_truthy(cases, n).cast("int") for n in CASE_RULES), F.lit(0))
-    return cases.filter(present >= min_fields)
+    def case(pairs: Column) -> Column:
+        def last(name: str) -> Column:
+            return F.try_element_at(F.filter(pairs, lambda p: p["field"] == name), F.lit(-1))["value"]
+
+        values = {name: last(name) for name in CASE_RULES}
+        gender = values["patient_gender"]
+        values["case_id"] = F.coalesce(values["case_id"], F.col("marker_id"))
+        values["patient_gender"] = F.when(gender.isNotNull(), normalize_gender(gender))
+        values["dechallenge_performed"] = code_to_bool(values["dechallenge_performed"])
+        return F.struct(*[v.alias(n) for n, v in values.items()])
+
+    def enough(c: Column) -> Column:
+        present = [
+            F.coalesce(c[n] if rule["type"] == "boolean" else c[n] != "", F.lit(False)).cast("int")
+            for n, rule in CASE_RULES.items()
+        ]
+        return sum(present, F.lit(0)) >= min_fields
+
+    cases = F.filter(_let(_case_pairs(F.col("block")), case), enough)
+    kept = [c for c in blocks.columns if c not in ("block", "marker_id")]
+    return blocks.select(*kept, F.explode(cases).alias("c")).select(*kept, "c.*")
 
 
 def first_usable_text(df: DataFrame, key: str = "doc_id", rank: str = "method_rank", text: str = "text", min_chars: int = MIN_TEXT_CHARS) -> DataFrame:
@@ -256,8 +307,6 @@ def rejected_documents(df: DataFrame, accepted: DataFrame, key: str = "doc_id")
 
 def roll_up_pages(df: DataFrame, key: str = "doc_id", page: str = "page_no", text: str = "text", ocr: str | None = None) -> DataFrame:
     """Join a document's readable pages in order and measure how many were readable."""
-    from caselight.functions.quality import is_binary_junk
-
     readable = ~is_binary_junk(F.col(text))
     aggregates = [
         F.array_sort(F.collect_list(F.when(readable, F.struct(F.col(page).alias("page"), F.col(text).alias("text"))))).alias("_pages"),

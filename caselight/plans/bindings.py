@@ -9,6 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from caselight.sources.documents import spread
+from caselight.streaming.intake import table_stream
+
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
     "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -346,6 +349,15 @@ SELECT c_custkey AS pos,
 FROM {{customer}}""",
 )
 
+VIEWS["batch_filings"] = (
+    ["customer"],
+    f"""
+SELECT pos, CAST(pos AS STRING) AS id, name AS applicant_name, email AS applicant_email, company, phone,
+  concat('2024-01-', lpad(CAST(pos % 28 + 1 AS STRING), 2, '0')) AS created_date,
+  concat('Drug-', CAST(pos % 37 AS STRING), ',', {_pick("Aspirin,Aspirine,Ibuprofen,Paracetamol,Paracetamole,Warfarin", "pos")}) AS drug_list
+FROM ({VIEWS["applicants"][1]})""",
+)
+
 VIEWS["addresses"] = (
     ["customer"],
     f"""
@@ -417,9 +429,19 @@ class Tables:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def view(self, name: str) -> DataFrame:
+    def stream(self, name: str) -> DataFrame:
+        """The table as a stream of its files."""
+        return table_stream(self.spark, self.folder, f"{name}.parquet", self.table(name).schema)
+
+    def view(self, name: str, wide: bool = False, streaming: bool = False) -> DataFrame:
+        """A view; ``wide`` spreads its first table over all cores, ``streaming`` reads it as a stream."""
         tables, text = VIEWS[name]
-        return self.spark.sql(text, **{t: self.table(t) for t in tables})
+        frames = {t: self.table(t) for t in tables}
+        if streaming:
+            frames[tables[0]] = self.stream(tables[0])
+        elif wide:
+            frames[tables[0]] = spread(frames[tables[0]])
+        return self.spark.sql(text, **frames)
 
 
 def oracle(views: list[str], body: str) -> str:

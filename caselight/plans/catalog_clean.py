@@ -59,7 +59,7 @@ def normal_date_sql(c: str) -> str:
 
 @add("p1_clean_text", ["adr_forms"], f"SELECT id, {clean_text_sql('adverse_reaction')} AS reaction, {clean_text_sql('drug_name')} AS drug FROM adr_forms")
 def _(t):
-    return t.view("adr_forms").select(
+    return t.view("adr_forms", wide=True).select(
         "id", text.clean_text_field(F.col("adverse_reaction")).alias("reaction"),
         text.clean_text_field(F.col("drug_name")).alias("drug"),
     )
@@ -67,12 +67,12 @@ def _(t):
 
 @add("p2_ambiguous_dates", ["adr_forms"], f"SELECT id, {ambiguous_sql('onset_date')} AS onset_date FROM adr_forms")
 def _(t):
-    return t.view("adr_forms").select("id", dates.parse_ambiguous_date(F.col("onset_date")).alias("onset_date"))
+    return t.view("adr_forms", wide=True).select("id", dates.parse_ambiguous_date(F.col("onset_date")).alias("onset_date"))
 
 
 @add("p3_normal_dates", ["adr_forms"], f"SELECT id, {normal_date_sql('onset_date')} AS onset_date FROM adr_forms")
 def _(t):
-    return t.view("adr_forms").select("id", dates.normalize_date_format(F.col("onset_date")).alias("onset_date"))
+    return t.view("adr_forms", wide=True).select("id", dates.normalize_date_format(F.col("onset_date")).alias("onset_date"))
 
 
 _TEXTS = ["adverse_reaction", "adverse_event_term", "drug_name", "outcome"]
@@ -92,7 +92,7 @@ _CLEANED = (
 
 
 def _cleaned(t):
-    forms = t.view("adr_forms").withColumnRenamed("is_batch", "_batch")
+    forms = t.view("adr_forms", wide=True).withColumnRenamed("is_batch", "_batch")
     return P.clean_forms(forms, "id", F.col("_batch")).withColumnRenamed("_batch", "is_batch")
 
 
@@ -105,7 +105,7 @@ def _(t):
 SELECT case_id, adverse_event_term AS adverse_reaction, event_severity AS severity, {normal_date_sql("event_onset_date")} AS onset_date,
   {normal_date_sql("event_onset_date")} AS event_onset_date, {normal_date_sql("report_date")} AS report_date FROM cases""")
 def _(t):
-    return P.cases_as_reports(t.view("cases")).select(
+    return P.cases_as_reports(t.view("cases", wide=True)).select(
         "case_id", "adverse_reaction", "severity", "onset_date", "event_onset_date", "report_date"
     )
 
@@ -114,7 +114,7 @@ def _(t):
 SELECT id, coalesce(nullif(event_severity, ''), severity, 'Unknown') AS severity, coalesce(outcome, 'Unknown') AS outcome,
   coalesce(nullif(adverse_reaction, ''), '') AS adverse_event, coalesce(drug_name, '') AS drug_name FROM adr_forms""")
 def _(t):
-    forms = t.view("adr_forms")
+    forms = t.view("adr_forms", wide=True)
     return forms.select("id", *[c.alias(n) for n, c in P.analytics_columns(forms).items()])
 
 
@@ -122,7 +122,7 @@ def _(t):
 SELECT case_id, patient_gender, CASE WHEN lower(patient_gender) IN ('m', 'male') THEN 'M' WHEN lower(patient_gender) IN ('f', 'female') THEN 'F' ELSE 'Other' END AS gender,
   coalesce(lower(dechallenge_response) IN ('yes', 'true', 'y'), FALSE) AS answered FROM cases""")
 def _(t):
-    return t.view("cases").select(
+    return t.view("cases", wide=True).select(
         "case_id", "patient_gender", text.normalize_gender(F.col("patient_gender")).alias("gender"),
         F.coalesce(text.code_to_bool(F.col("dechallenge_response")), F.lit(False)).alias("answered"),
     )
@@ -180,7 +180,7 @@ def _(t):
 SELECT id, CASE WHEN (coalesce(patient_age <> '', FALSE)::INT + coalesce(adverse_reaction <> '', FALSE)::INT + coalesce(onset_date <> '', FALSE)::INT + coalesce(patient_gender <> '', FALSE)::INT) >= 2 THEN 'ADR' ELSE 'unknown' END AS form_type FROM adr_forms
 UNION ALL SELECT id, CASE WHEN (coalesce(applicant_name <> '', FALSE)::INT + coalesce(manufacturing_process <> '', FALSE)::INT + coalesce(drug_code <> '', FALSE)::INT + coalesce(clinical_data_available, FALSE)::INT) >= 2 THEN 'DMF' ELSE 'unknown' END FROM dmf_forms""")
 def _(t):
-    adr, dmf = t.view("adr_forms"), t.view("dmf_forms")
+    adr, dmf = t.view("adr_forms", wide=True), t.view("dmf_forms", wide=True)
     return adr.select("id", P.detect_form_type(adr).alias("form_type")).unionByName(
         dmf.select("id", P.detect_form_type(dmf).alias("form_type"))
     )
@@ -256,7 +256,7 @@ def _section_sql(n: int) -> str:
 @add("v1_field_findings", ["dmf_forms"], _DMF_CTE + """
 SELECT id, (pos - 1)::INT AS pos, 'Section ' || f.section AS section, f.field_name AS field_name, f.status AS status, f.severity AS severity, f.message AS message, f.suggestion AS suggestion FROM long""")
 def _(t):
-    return V.field_findings(V.check_forms(t.view("dmf_forms")), "id").withColumn("section", F.substring("section", 1, 9))
+    return V.field_findings(V.check_forms(t.view("dmf_forms", wide=True)), "id").withColumn("section", F.substring("section", 1, 9))
 
 
 @add("v2_check_forms", ["dmf_forms"], _DMF_CTE + f"""
@@ -270,7 +270,7 @@ def _(t):
 SELECT id, completeness_score, critical_issues, high_priority_issues, medium_priority_issues, recommendations, sections,
   CASE WHEN n_critical > 0 THEN 'FAIL' WHEN completeness_score < 80 THEN 'INCOMPLETE' WHEN n_high > 0 THEN 'NEEDS_REVIEW' ELSE 'PASS' END AS overall_status FROM agg""")
 def _(t):
-    out = V.check_forms(t.view("dmf_forms"))
+    out = V.check_forms(t.view("dmf_forms", wide=True))
     joined = {c: F.array_join(c, "|") for c in ("critical_issues", "high_priority_issues", "medium_priority_issues")}
     return out.select(
         "id", "completeness_score", "overall_status", *[c.alias(n) for n, c in joined.items()],
@@ -323,7 +323,7 @@ def _flat_reports(df):
 
 @add("v4_check_reports", ["adr_forms"], adr_sql("adr_forms"))
 def _(t):
-    return _flat_reports(V.check_reports(t.view("adr_forms"), F.col("is_batch")))
+    return _flat_reports(V.check_reports(t.view("adr_forms", wide=True), F.col("is_batch")))
 
 
 @add("v4_check_cleaned_reports", ["adr_forms"], f"WITH cleaned AS ({_CLEANED}) " + adr_sql("cleaned"))
@@ -345,13 +345,13 @@ def enum_sql(c: str, options: list[str]) -> str:
 
 @add("v5_date_shapes", ["adr_forms"], f"SELECT id, coalesce({_DATE_OK.format(c='onset_date')}, FALSE) AS ok FROM adr_forms")
 def _(t):
-    return t.view("adr_forms").select("id", dates.is_date_shape(F.col("onset_date")).alias("ok"))
+    return t.view("adr_forms", wide=True).select("id", dates.is_date_shape(F.col("onset_date")).alias("ok"))
 
 
 @add("v6_enum_values", ["cases"], f"""
 SELECT report_date, event_severity, {enum_sql("event_severity", CASE_SEVERITIES)} AS severity, {enum_sql("outcome", CASE_OUTCOMES)} AS outcome FROM cases""")
 def _(t):
-    return t.view("cases").select(
+    return t.view("cases", wide=True).select(
         "report_date", "event_severity", text.normalize_enum(F.col("event_severity"), CASE_SEVERITIES).alias("severity"),
         text.normalize_enum(F.col("outcome"), CASE_OUTCOMES).alias("outcome"),
     )
@@ -386,7 +386,7 @@ CHECKED_CASES = f"""SELECT *, len(errors) = 0 AS valid, round((11 - len(errors))
 @add("v7_check_cases", ["cases"], f"""
 SELECT doc_id, coalesce(case_id, '') AS case_id, valid, data_quality_score, array_to_string(errors, '|') AS errors, array_to_string(warnings, '|') AS warnings FROM ({CHECKED_CASES})""")
 def _(t):
-    return V.check_cases(t.view("cases")).select(
+    return V.check_cases(t.view("cases", wide=True)).select(
         "doc_id", F.coalesce("case_id", F.lit("")).alias("case_id"), "valid", "data_quality_score",
         F.array_join("errors", "|").alias("errors"), F.array_join("warnings", "|").alias("warnings"),
     )
@@ -399,14 +399,14 @@ SELECT c.doc_id, count(*) AS total_records, count(*) FILTER (valid) AS valid_rec
   CASE WHEN count(*) FILTER (valid) / count(*) >= 0.6 THEN 'PASS' ELSE 'FAIL' END AS overall_status
 FROM c JOIN (SELECT DISTINCT ON (doc_id) doc_id, ev AS most_common_ae FROM ev ORDER BY doc_id, n DESC, p) m ON c.doc_id = m.doc_id GROUP BY c.doc_id""")
 def _(t):
-    return V.summarize_case_batches(V.check_cases(t.view("cases")))
+    return V.summarize_case_batches(V.check_cases(t.view("cases", wide=True)))
 
 
 @add("v8_case_distributions", ["cases"], """
 SELECT doc_id, 'severity' AS kind, coalesce(event_severity, 'Unknown') AS value, count(*) AS n FROM cases GROUP BY 1, 3
 UNION ALL SELECT doc_id, 'outcome', coalesce(outcome, 'Unknown'), count(*) FROM cases GROUP BY 1, 3""")
 def _(t):
-    cases = t.view("cases")
+    cases = t.view("cases", wide=True)
     sev = V.case_distribution(cases, "event_severity").select("doc_id", F.lit("severity").alias("kind"), F.col("event_severity").alias("value"), "n")
     return sev.unionByName(
         V.case_distribution(cases, "outcome").select("doc_id", F.lit("outcome").alias("kind"), F.col("outcome").alias("value"), "n")
@@ -479,7 +479,7 @@ FROM (SELECT id, flatten([{", ".join(parts)}]) AS issues FROM checked_records)""
 
     @add(name, ["checked_records"], body)
     def _(t):
-        rows = t.view("checked_records").select("id", *columns)
+        rows = t.view("checked_records", wide=True).select("id", *columns)
         return C.check_consistency(rows, AS_OF).select(
             "id", _joined_issues().alias("issues"), "overall_status",
             F.size("critical_issues").cast("bigint").alias("n_critical"), F.size("high_priority_issues").cast("bigint").alias("n_high"),
@@ -531,7 +531,7 @@ SELECT *, CASE WHEN total_score >= 9 THEN 'Probable' WHEN total_score >= 5 THEN
 
 @add("n1_score_narratives", ["narratives"], _SCORED)
 def _(t):
-    out = N.score_narratives(t.view("narratives"))
+    out = N.score_narratives(t.view("narratives", wide=True))
     line = F.regexp_extract("reasoning", r"\*\*(Total Score: \d+/13)\*\*", 1)
     return out.withColumn("total_line", line).drop("narrative", "reasoning", "previous_literature")
 
@@ -569,7 +569,7 @@ def _(t):
 @add("n5_default_score", ["adr_forms"], "SELECT id, CASE WHEN adverse_reaction IS NOT NULL OR drug_name IS NOT NULL THEN 7 ELSE -1 END AS score FROM adr_forms")
 def _(t):
     score = N.default_score(F.col("adverse_reaction"), F.col("drug_name"))
-    return t.view("adr_forms").select("id", F.coalesce(score, F.lit(-1)).alias("score"))
+    return t.view("adr_forms", wide=True).select("id", F.coalesce(score, F.lit(-1)).alias("score"))
 
 
 @add("r7_scored_report", ["sae_cases"], f"""

@@ -11,6 +11,7 @@ from caselight.functions import text as T
 from caselight.operators import extract as X
 from caselight.plans.catalog_core import trimmed
 from caselight.plans.registry import CATALOG
+from caselight.sources.documents import spread
 from caselight.schemas import (
     CASE_LABELS,
     CASE_RULES,
@@ -44,7 +45,7 @@ def _(t):
         .when(F.col("doc_id") % 17 == 0, F.concat(F.repeat(F.lit("\x02"), 30), F.substring("text", 1, 90)))
         .otherwise(F.col("text"))
     )
-    return t.table("documents").select("doc_id", marked.alias("text")).select("doc_id", Q.is_binary_junk(F.col("text")).alias("junk"))
+    return spread(t.table("documents")).select("doc_id", marked.alias("text")).select("doc_id", Q.is_binary_junk(F.col("text")).alias("junk"))
 
 
 # White space as a byte-oriented regex class cannot express all of it, the classes are spelled out.
@@ -57,7 +58,7 @@ _CLEAN = f"array_to_string(list_filter(string_split({_SQUEEZED}, chr(10)), lambd
 
 @add("x2_clean_documents", [], f"SELECT doc_id, length({_CLEAN}) AS size, md5({_CLEAN}) AS clean_md5 FROM documents")
 def _(t):
-    clean = t.table("documents").select("doc_id", Q.clean_text(F.col("text")).alias("c"))
+    clean = spread(t.table("documents")).select("doc_id", Q.clean_text(F.col("text")).alias("c"))
     return clean.select("doc_id", F.length("c").cast("bigint").alias("size"), F.md5("c").alias("clean_md5"))
 
 
@@ -75,7 +76,7 @@ SELECT doc_id, CASE WHEN {_SIZE} < 100 THEN 'low' WHEN {_SIZE} < 500 THEN 'mediu
     CASE WHEN {_SIZE} > 0 AND doc_id % 10 < 5 THEN 'Low page extraction rate (' || (doc_id % 10) * 10 || '%)' END) AS warnings FROM documents""")
 def _(t):
     pages, total = F.col("doc_id") % 10, F.lit(10)
-    return t.table("documents").select(
+    return spread(t.table("documents")).select(
         "doc_id", Q.checked_quality(F.col("text"), F.lit("unknown")).alias("quality"),
         F.array_join(Q.extraction_warnings(F.col("text"), pages, total), "|").alias("warnings"),
     )
@@ -88,7 +89,7 @@ def _(t):
     key = F.col("doc_id")
     error = F.when(key % 23 == 0, "unreadable")
     rate = Q.rate_quality(F.col("text"), key % 11, F.lit(10), key % 21 / F.lit(20.0), error)
-    return t.table("documents").select("doc_id", rate.alias("quality"))
+    return spread(t.table("documents")).select("doc_id", rate.alias("quality"))
 
 
 _T = "nullif(length(text), 0)"
@@ -102,7 +103,7 @@ SELECT doc_id, (CASE WHEN {_AL} > 0.5 AND {_AL} < 0.8 THEN 4 WHEN {_AL} > 0.4 AN
   + CASE WHEN {_SP} > 0.15 AND {_SP} < 0.35 THEN 3 WHEN {_SP} > 0.1 AND {_SP} < 0.4 THEN 2 ELSE 1 END
   + CASE WHEN {_PU} > 0.01 AND {_PU} < 0.2 THEN 3 ELSE 1 END) / 10 AS confidence FROM documents""")
 def _(t):
-    return t.table("documents").select("doc_id", Q.text_confidence(F.col("text")).alias("confidence"))
+    return spread(t.table("documents")).select("doc_id", Q.text_confidence(F.col("text")).alias("confidence"))
 
 
 @add("x6_page_rollup", ["doc_pages"], f"""
@@ -218,15 +219,15 @@ def _report_column(name: str) -> str:
 
 @add("x10_parse_reports", ["reports"], "SELECT doc_id, " + ", ".join(_report_column(n) for n in REPORT_FIELDS) + " FROM reports")
 def _(t):
-    return X.parse_reports(t.view("reports")).drop("text")
+    return X.parse_reports(t.view("reports", wide=True)).drop("text")
 
 
 @add("x9_labelled_fields", ["reports"], f"""
 SELECT doc_id, {field_sql(["Expiration Date", "Expiry Date", "Exp Date"], "date")} AS expiration_date, {field_sql(["Patient Age", "Age"], "age")} AS patient_age,
   {field_sql(["Route", "Route of Administration"], None)} AS route FROM reports""")
 def _(t):
-    text, low = F.col("text"), F.lower("text")
-    return t.view("reports").select(
+    text, low = "text", "_lowered"
+    return X.with_lowered(t.view("reports", wide=True)).select(
         "doc_id", X.labelled_field(text, low, ["Expiration Date", "Expiry Date", "Exp Date"], "date").alias("expiration_date"),
         X.labelled_field(text, low, ["Patient Age", "Age"], "age").alias("patient_age"),
         X.labelled_field(text, low, ["Route", "Route of Administration"]).alias("route"),
@@ -236,7 +237,7 @@ def _(t):
 def _one(name: str, column: str, build):
     @add(name, ["reports"], f"SELECT doc_id, {_SPECIAL[column]} AS {column} FROM reports")
     def _(t):
-        return t.view("reports").select("doc_id", build(F.col("text"), F.lower("text")).alias(column))
+        return X.with_lowered(t.view("reports", wide=True)).select("doc_id", build("text", "_lowered").alias(column))
 
 
 _one("x11_drug_names", "drug_name", X.drug_name)
@@ -247,32 +248,35 @@ _one("x14_report_dates", "report_date", X.report_date)
 
 
 _MARK = "(?i)((Case\\s+ID|Case)\\s*:?\\s*([A-Z0-9-]+))"
-_BLOCKS = f"""blocks AS (SELECT doc_id, generate_subscripts(b, 1) - 1 AS pos, unnest(b) AS block FROM (
-  SELECT doc_id, string_split(regexp_replace(text, '{_MARK}', chr(1) || '\\1', 'g'), chr(1))[2:] AS b FROM line_listings WHERE length(trim(text)) >= 100))"""
+_BLOCKS = f"""docs AS (SELECT row_number() OVER () AS rid, doc_id, text FROM line_listings),
+blocks AS (SELECT rid, doc_id, generate_subscripts(b, 1) - 1 AS pos, unnest(b) AS block FROM (
+  SELECT rid, doc_id, string_split(regexp_replace(text, '{_MARK}', chr(1) || '\\1', 'g'), chr(1))[2:] AS b FROM docs WHERE length(trim(text)) >= 100))"""
 
 
 @add("x15_split_cases", ["line_listings"], f"WITH {_BLOCKS} SELECT doc_id, pos::INT AS pos, regexp_extract(block, '{_MARK}', 3) AS marker_id, md5(block) AS block_md5 FROM blocks")
 def _(t):
-    return X.split_cases(t.view("line_listings")).select("doc_id", "pos", "marker_id", F.md5("block").alias("block_md5"))
+    return X.split_cases(t.view("line_listings", wide=True)).select("doc_id", "pos", "marker_id", F.md5("block").alias("block_md5"))
 
 
 _LABEL_RULES = " ".join(f"WHEN contains(name, '{label}') THEN '{target}'" for label, target in CASE_LABELS)
+_PRESENT = " + ".join(
+    f"coalesce({n} <> '', FALSE)::INT" if n != "dechallenge_performed" else f"coalesce({n}, FALSE)::INT" for n in CASE_RULES
+)
 PARSED_CASES = f"""{_BLOCKS},
-lines AS (SELECT doc_id, pos, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM (SELECT doc_id, pos, string_split(block, chr(10)) AS ls FROM blocks)),
-pairs AS (SELECT doc_id, pos, i, CASE {_LABEL_RULES} END AS field, value FROM (
-  SELECT doc_id, pos, i, lower(trim(split_part(line, ':', 1))) AS name, trim(substr(line, instr(line, ':') + 1)) AS value FROM lines WHERE contains(line, ':'))),
-grouped AS (SELECT doc_id, pos, {", ".join(f"arg_max(value, i) FILTER (field = '{n}') AS {n}" for n in CASE_RULES)} FROM pairs GROUP BY doc_id, pos),
+lines AS (SELECT rid, pos, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM (SELECT rid, pos, string_split(block, chr(10)) AS ls FROM blocks)),
+pairs AS (SELECT rid, pos, i, CASE {_LABEL_RULES} END AS field, value FROM (
+  SELECT rid, pos, i, lower(trim(split_part(line, ':', 1))) AS name, trim(substr(line, instr(line, ':') + 1)) AS value FROM lines WHERE contains(line, ':'))),
+grouped AS (SELECT rid, pos, {", ".join(f"arg_max(value, i) FILTER (field = '{n}') AS {n}" for n in CASE_RULES)} FROM pairs GROUP BY rid, pos),
 parsed AS (SELECT b.doc_id, b.pos::INT AS pos, coalesce(g.case_id, regexp_extract(b.block, '{_MARK}', 3)) AS case_id, patient_age,
   CASE WHEN patient_gender IS NULL THEN NULL WHEN lower(patient_gender) IN ('m', 'male') THEN 'M' WHEN lower(patient_gender) IN ('f', 'female') THEN 'F' ELSE 'Other' END AS patient_gender,
   adverse_event_term, event_onset_date, event_severity, outcome, drug_name, dose, lower(dechallenge_performed) IN ('yes', 'true', 'y') AS dechallenge_performed, report_date
-  FROM blocks b LEFT JOIN grouped g ON b.doc_id = g.doc_id AND b.pos = g.pos),
-kept AS (SELECT * FROM parsed WHERE {" + ".join(f"coalesce({n} <> '', FALSE)::INT" if n != "dechallenge_performed" else "coalesce(dechallenge_performed, FALSE)::INT" for n in CASE_RULES)} >= 8)"""
+  FROM blocks b LEFT JOIN grouped g ON b.rid = g.rid AND b.pos = g.pos),
+kept AS (SELECT * FROM parsed WHERE {_PRESENT} >= 8)"""
 
 
-@add("x16_parse_cases", ["line_listings"], f"""
-WITH {PARSED_CASES.replace("FROM line_listings ", "FROM (SELECT DISTINCT doc_id, text FROM line_listings) ")} SELECT * FROM kept""")
+@add("x16_parse_cases", ["line_listings"], f"WITH {PARSED_CASES} SELECT * FROM kept")
 def _(t):
-    return X.parse_cases(t.view("line_listings").distinct())
+    return X.parse_cases(t.view("line_listings", wide=True))
 
 
 @add("x17_postal_codes", ["addresses"], """
@@ -285,4 +289,4 @@ def _(t):
 @add("x17_document_codes", [], """
 SELECT doc_id, array_to_string(regexp_extract_all(text, '\\b([0-9]{5,6})\\b', 1), ',') AS codes FROM documents""")
 def _(t):
-    return t.table("documents").select("doc_id", F.array_join(T.postal_codes(F.col("text")), ",").alias("codes"))
+    return spread(t.table("documents")).select("doc_id", F.array_join(T.postal_codes(F.col("text")), ",").alias("codes"))
