@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["catalog_core", "catalog_clean", "catalog_text", "catalog_dups"]
+_MODULES = ["catalog_core", "catalog_clean", "catalog_text", "catalog_dups", "catalog_review"]
 
 
 def load_catalog():
