@@ -4,19 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from caselight.functions import sql
 from caselight.functions.presence import strip
 from caselight.schemas import CASE_LABELS, VALUE_LABELS
 
 
-def clean_text_field(c: Column) -> Column:
-    """Strip leading value labels and squeeze white space; null becomes empty text.
+def clean_text_sql(value: str) -> str:
+    """SQL text of ``clean_text_field``.
 
     Labels are tried once each in their listed order, so a chain of optional groups in that
     order removes exactly what one pass per label would, with a single regex.
     """
     chain = "".join(rf"(?:{label}:\s*)?" for label in VALUE_LABELS)
-    unlabelled = F.regexp_replace(strip(c), rf"(?iU)^{chain}", "")
-    return F.coalesce(strip(F.regexp_replace(unlabelled, r"(?U)\s+", " ")), F.lit(""))
+    unlabelled = f"regexp_replace({sql.strip(value)}, {sql.regex('^' + chain, 'i')}, '')"
+    return f"coalesce({sql.strip(f'regexp_replace({unlabelled}, {sql.regex(r"\s+")}, {chr(39)} {chr(39)})')}, '')"
+
+
+def clean_text_field(value: str) -> Column:
+    """Strip leading value labels of a column and squeeze white space; null becomes empty text."""
+    return F.expr(clean_text_sql(value))
 
 
 def normalize_text(c: Column) -> Column:
@@ -68,20 +74,22 @@ def progress_percentage(c: Column, stages: list[str]) -> Column:
     )
 
 
-def normalize_enum(c: Column, options: list[str]) -> Column:
-    """Match a vocabulary exactly, then in any case, then by the first word that is an option."""
-    value = strip(c)
-    options_array = F.array(*[F.lit(o) for o in options])
-    lowered = F.array(*[F.lit(o.lower()) for o in options])
+def enum_sql(value: str, options: list[str]) -> str:
+    """SQL text of ``normalize_enum``."""
+    text = sql.strip(value)
+    listed, lowered = sql.options(options), sql.options([o.lower() for o in options])
 
-    def option_for(word: Column) -> Column:
-        return F.get(options_array, F.array_position(lowered, word).cast("int") - 1)
+    def option_for(word: str) -> str:
+        return f"get(array({listed}), CAST(array_position(array({lowered}), {word}) AS INT) - 1)"
 
-    words = F.split(F.lower(value), r"(?U)\s+")
-    hits = F.filter(words, lambda w: F.array_contains(lowered, w))
-    return F.coalesce(
-        F.when(value.isin(options), value), option_for(F.lower(value)), option_for(F.get(hits, 0))
-    )
+    word = f"get(filter(split(lower({text}), {sql.regex(r'\s+')}), w -> w IN ({lowered})), 0)"
+    exact = f"CASE WHEN {text} IN ({listed}) THEN {text} END"
+    return f"coalesce({exact}, {option_for(f'lower({text})')}, {option_for(word)})"
+
+
+def normalize_enum(value: str, options: list[str]) -> Column:
+    """Match a vocabulary exactly, then in any case, then by the first word that is an option."""
+    return F.expr(enum_sql(value, options))
 
 
 def case_field_of(label: Column) -> Column:

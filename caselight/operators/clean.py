@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from caselight.functions.dates import clean_date, normalize_date_format
-from caselight.functions.presence import default_if_blank, field, present_truthy, strip
-from caselight.functions.text import clean_text_field
+from caselight.functions.dates import clean_date_sql, normalize_date_format
+from caselight.functions.presence import default_if_blank, field, present_truthy
+from caselight.functions.sql import strip
+from caselight.functions.text import clean_text_sql
 from caselight.schemas import (
     ADR_INDICATORS,
     BATCH_REPORTER,
@@ -28,24 +29,24 @@ def clean_forms(df: DataFrame, key: str = "id", is_batch: Column | None = None)
     fields = [f for f in df.schema.fields if f.name != key and not f.name.startswith("_")]
     texts = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
 
-    def cleaned(name: str) -> Column:
-        c = F.nullif(F.col(name), F.lit(""))
+    def cleaned(name: str) -> str:
+        c = f"`{name}`"
         if name in TEXT_FIELDS:
-            value = clean_text_field(c)
+            value = clean_text_sql(c)
         elif name in DATE_FIELDS:
-            value = clean_date(c)
+            value = clean_date_sql(c)
         else:
             value = strip(c)
-        return F.when(c.isNotNull(), value)
+        return f"CASE WHEN {c} <> '' THEN {value} END"
 
     empty_form = ~_any([present_truthy(df, f.name) for f in fields])
-    name = cleaned("reporter_name") if "reporter_name" in texts else F.lit(None).cast("string")
+    name = F.expr(cleaned("reporter_name")) if "reporter_name" in texts else F.lit(None).cast("string")
     auto = F.when(batch, BATCH_REPORTER).otherwise(SINGLE_REPORTER)
-    blank = F.coalesce(name, F.lit("")).isin("") | (F.upper(name) == "MISSING")
+    blank = F.coalesce(F.upper(name).isin("", "MISSING"), F.lit(True))
     reporter = F.when(empty_form, F.lit(None)).when(blank, auto).otherwise(name)
 
     columns = [
-        cleaned(f.name).alias(f.name) if f.name in texts and f.name != "reporter_name" else F.col(f.name)
+        F.expr(cleaned(f.name)).alias(f.name) if f.name in texts and f.name != "reporter_name" else F.col(f.name)
         for f in df.schema.fields
         if f.name != "reporter_name"
     ]
@@ -77,7 +78,7 @@ def cases_as_reports(df: DataFrame) -> DataFrame:
     out = df.withColumns(new) if new else df
     dates = [c for c in ("onset_date", "report_date", "event_onset_date") if c in out.columns]
     return out.withColumns(
-        {c: F.when(F.col(c) != "", normalize_date_format(F.col(c))).otherwise(F.col(c)) for c in dates}
+        {c: F.when(F.col(c) != "", normalize_date_format(c)).otherwise(F.col(c)) for c in dates}
     )
 
 

@@ -10,8 +10,9 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from caselight.functions.presence import WHITESPACE, strip
+from caselight.functions.presence import strip
 from caselight.functions.quality import is_binary_junk
+from caselight.functions.sql import SPACE as _SPACE, regex as _rx, strip as _strip
 from caselight.functions.text import case_field_of, code_to_bool, normalize_gender
 from caselight.schemas import (
     CASE_RULES,
@@ -30,21 +31,6 @@ from caselight.schemas import (
 CASE_MARKER = r"(?:Case\s+ID|Case)\s*:?\s*([A-Z0-9\-]+)"
 _SENTINEL = "\ue0ff"
 
-# Unicode white space spelled out: far cheaper to match than the Unicode class mode.
-_SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-_STRIPPED = "'" + "".join(f"\\u{ord(c):04x}" for c in WHITESPACE) + "'"
-
-
-def _rx(pattern: str, flags: str = "d") -> str:
-    """A regex as a raw SQL literal, ``\\s`` meaning Unicode white space."""
-    outside = re.sub(r"\[[^\]]*\]|\\s", lambda m: _SPACE if m.group(0) == r"\s" else m.group(0), pattern)
-    return f'r"(?{flags}){outside}"'
-
-
-def _strip(value: str) -> str:
-    return f"btrim({value}, {_STRIPPED})"
-
-
 def _extract(text: str, pattern: str, flags: str = "di", group: int = 1) -> str:
     return f"regexp_extract({text}, {_rx(pattern, flags)}, {group})"
 

@@ -53,18 +53,29 @@ def pseudonymize(text: Column, kinds: list[str] | None = None) -> Column:
     Numbering is per text and row-local: the distinct values are folded over the text, longer
     values first where one contains another.
     """
-    out = text
-    for kind in kinds or PII_PATTERNS:
+    def numbered(out: Column, kind: str) -> Column:
         values = F.array_distinct(_matches(out, kind))
-        numbered = F.transform(
-            values, lambda v, i: F.struct((-F.length(v)).alias("size"), i.alias("i"), v.alias("v"))
-        )
-        out = F.aggregate(
-            F.array_sort(numbered),
-            out,
-            lambda acc, s, k=kind: F.replace(acc, s["v"], F.concat(F.lit(f"[{k}_"), (s["i"] + 1).cast("string"), F.lit("]"))),
+        by_size = F.array_sort(
+            F.transform(values, lambda v, i: F.struct((-F.length(v)).alias("size"), i.alias("i"), v.alias("v")))
         )
-    return out
+
+        def tag(acc: Column, s: Column) -> Column:
+            return F.replace(acc, s["v"], F.concat(F.lit(f"[{kind}_"), (s["i"] + 1).cast("string"), F.lit("]")))
+
+        return F.aggregate(by_size, out, tag)
+
+    # One kind after the other; a one-element array holds each intermediate text, computed once.
+    step = F.array(text)
+    for kind in kinds or PII_PATTERNS:
+        step = _each(step, numbered, kind)
+    return F.get(step, 0)
+
+
+def _each(texts: Column, rule, kind: str) -> Column:
+    def apply(x: Column) -> Column:
+        return rule(x, kind)
+
+    return F.transform(texts, apply)
 
 
 def anonymize(df: DataFrame, text: str = "text") -> DataFrame:

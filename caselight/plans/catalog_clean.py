@@ -60,19 +60,19 @@ def normal_date_sql(c: str) -> str:
 @add("p1_clean_text", ["adr_forms"], f"SELECT id, {clean_text_sql('adverse_reaction')} AS reaction, {clean_text_sql('drug_name')} AS drug FROM adr_forms")
 def _(t):
     return t.view("adr_forms", wide=True).select(
-        "id", text.clean_text_field(F.col("adverse_reaction")).alias("reaction"),
-        text.clean_text_field(F.col("drug_name")).alias("drug"),
+        "id", text.clean_text_field("adverse_reaction").alias("reaction"),
+        text.clean_text_field("drug_name").alias("drug"),
     )
 
 
 @add("p2_ambiguous_dates", ["adr_forms"], f"SELECT id, {ambiguous_sql('onset_date')} AS onset_date FROM adr_forms")
 def _(t):
-    return t.view("adr_forms", wide=True).select("id", dates.parse_ambiguous_date(F.col("onset_date")).alias("onset_date"))
+    return t.view("adr_forms", wide=True).select("id", dates.parse_ambiguous_date("onset_date").alias("onset_date"))
 
 
 @add("p3_normal_dates", ["adr_forms"], f"SELECT id, {normal_date_sql('onset_date')} AS onset_date FROM adr_forms")
 def _(t):
-    return t.view("adr_forms", wide=True).select("id", dates.normalize_date_format(F.col("onset_date")).alias("onset_date"))
+    return t.view("adr_forms", wide=True).select("id", dates.normalize_date_format("onset_date").alias("onset_date"))
 
 
 _TEXTS = ["adverse_reaction", "adverse_event_term", "drug_name", "outcome"]
@@ -352,8 +352,8 @@ def _(t):
 SELECT report_date, event_severity, {enum_sql("event_severity", CASE_SEVERITIES)} AS severity, {enum_sql("outcome", CASE_OUTCOMES)} AS outcome FROM cases""")
 def _(t):
     return t.view("cases", wide=True).select(
-        "report_date", "event_severity", text.normalize_enum(F.col("event_severity"), CASE_SEVERITIES).alias("severity"),
-        text.normalize_enum(F.col("outcome"), CASE_OUTCOMES).alias("outcome"),
+        "report_date", "event_severity", text.normalize_enum("event_severity", CASE_SEVERITIES).alias("severity"),
+        text.normalize_enum("outcome", CASE_OUTCOMES).alias("outcome"),
     )
 
 
