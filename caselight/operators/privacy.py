@@ -124,6 +124,14 @@ def equivalence_classes(df: DataFrame, quasi: list[str]) -> DataFrame:
     return df.groupBy(*quasi).agg(F.count(F.lit(1)).alias("class_size"))
 
 
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on keys where null equals null; the right side's keys are dropped."""
+    renamed = {k: f"_key{i}" for i, k in enumerate(keys)}
+    other = right.withColumnsRenamed(renamed)
+    on = [F.col(k).eqNullSafe(F.col(r)) for k, r in renamed.items()]
+    return left.join(other, on, "left").drop(*renamed.values())
+
+
 def k_anonymity(df: DataFrame, quasi: list[str], k: int = K_ANONYMITY_THRESHOLD) -> DataFrame:
     """One row: number of classes, smallest class, classes and rows below k, PASS or FAIL."""
     sizes = equivalence_classes(df, quasi)
@@ -142,11 +150,7 @@ def suppress_small_classes(df: DataFrame, quasi: list[str], k: int = K_ANONYMITY
     Class sizes are counted with map-side combining and joined back, so a class holding a large
     share of the rows is not gathered in one task. Nulls in quasi-identifiers match nulls.
     """
-    renamed = [f"_q{i}" for i in range(len(quasi))]
-    sizes = equivalence_classes(df, quasi)
-    sizes = sizes.select(*[F.col(q).alias(r) for q, r in zip(quasi, renamed)], "class_size")
-    on = [F.col(q).eqNullSafe(F.col(r)) for q, r in zip(quasi, renamed)]
-    joined = df.join(sizes, on, "left").drop(*renamed)
+    joined = _join_null_safe(df, equivalence_classes(df, quasi), quasi)
     keep = F.col("class_size") >= k
     return joined.withColumns({q: F.when(keep, F.col(q)) for q in quasi}).withColumn("suppressed", ~keep)
 
@@ -166,15 +170,13 @@ def t_closeness(df: DataFrame, quasi: list[str], sensitive: str) -> DataFrame:
     class's own values plus half the global share of the values it lacks.
     """
     pairs = df.groupBy(*quasi, sensitive).agg(F.count(F.lit(1)).alias("n"))
-    whole = pairs.groupBy(sensitive).agg(F.sum("n").alias("n_value"))
     total = df.select(F.count(F.lit(1))).scalar()
-    shares = whole.withColumn("q", F.col("n_value") / total).drop("n_value")
-    sizes = pairs.groupBy(*quasi).agg(F.sum("n").alias("class_size"))
-    joined = pairs.join(sizes, quasi).join(shares, sensitive)
-    p = F.col("n") / F.col("class_size")
+    shares = pairs.groupBy(sensitive).agg((F.sum("n") / total).alias("_share"))
+    sizes = pairs.groupBy(*quasi).agg(F.sum("n").alias("_size"))
+    joined = _join_null_safe(_join_null_safe(pairs, sizes, quasi), shares, [sensitive])
+    gap = F.abs(F.col("n") / F.col("_size") - F.col("_share"))
     return joined.groupBy(*quasi).agg(
-        F.max("class_size").alias("class_size"),
-        ((F.sum(F.abs(p - F.col("q"))) + (1 - F.sum("q"))) / 2).alias("t_value"),
+        F.max("_size").alias("class_size"), ((F.sum(gap) + (1 - F.sum("_share"))) / 2).alias("t_value")
     )
 
 

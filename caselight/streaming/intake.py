@@ -19,10 +19,9 @@ def table_stream(spark: SparkSession, folder: str, name: str, schema: T.StructTy
 
 def text_stream(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
     """Text files arriving in a folder, one row each."""
-    raw = (
-        spark.readStream.option("wholetext", "true").option("maxFilesPerTrigger", max_files).text(folder)
-    )
-    return raw.select(F.sha2(F.col("_metadata.file_path"), 256).alias("doc_id"), F.col("value").alias("text"))
+    raw = spark.readStream.option("maxFilesPerTrigger", max_files).text(folder, wholetext=True)
+    text = F.regexp_replace("value", "^\\ufeff", "")
+    return raw.select(F.sha2(F.col("_metadata.file_path"), 256).alias("doc_id"), text.alias("text"))
 
 
 def checked_reports(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
