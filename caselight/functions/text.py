@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from caselight.functions import sql
 from caselight.functions.presence import strip
-from caselight.schemas import CASE_LABELS, VALUE_LABELS
+from caselight.schemas import VALUE_LABELS
 
 
 def clean_text_sql(value: str) -> str:
@@ -92,19 +92,6 @@ def normalize_enum(value: str, options: list[str]) -> Column:
     return F.expr(enum_sql(value, options))
 
 
-def case_field_of(label: Column) -> Column:
-    """Case field named by a line's label: the first listed label contained in it."""
-    name = F.lower(strip(label))
-    rule = F.lit(None).cast("string")
-    for text, target in reversed(CASE_LABELS):
-        rule = F.when(name.contains(text), target).otherwise(rule)
-    return rule
-
-
 def postal_codes(c: Column) -> Column:
     """Every five or six digit word."""
     return F.regexp_extract_all(c, F.lit(r"\b(\d{5,6})\b"), F.lit(1))
-
-
-def ratio_text(num: Column, den: Column) -> Column:
-    return num / F.nullif(den, F.lit(0))

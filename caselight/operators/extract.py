@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from caselight.functions.presence import strip
 from caselight.functions.quality import is_binary_junk
 from caselight.functions.sql import SPACE as _SPACE, regex as _rx, strip as _strip
-from caselight.functions.text import case_field_of, code_to_bool, normalize_gender
+from caselight.functions.text import code_to_bool, normalize_gender
 from caselight.schemas import (
+    CASE_LABELS,
     CASE_RULES,
     DRUG_LABELS,
     MIN_TEXT_CHARS,
@@ -30,6 +31,7 @@ from caselight.schemas import (
 
 CASE_MARKER = r"(?:Case\s+ID|Case)\s*:?\s*([A-Z0-9\-]+)"
 _SENTINEL = "\ue0ff"
+_MARKER = CASE_MARKER.replace(r"\s", _SPACE)
 
 def _extract(text: str, pattern: str, flags: str = "di", group: int = 1) -> str:
     return f"regexp_extract({text}, {_rx(pattern, flags)}, {group})"
@@ -214,13 +216,13 @@ def split_cases(df: DataFrame, text: str = "text") -> DataFrame:
     The text before the first marker is dropped. ``pos`` counts from 0 inside a document.
     """
     long_enough = F.length(strip(F.col(text))) >= MIN_TEXT_CHARS
-    marked = F.regexp_replace(F.col(text), f"(?diuU)({CASE_MARKER})", f"{_SENTINEL}$1")
+    marked = F.regexp_replace(F.col(text), f"(?di)({_MARKER})", f"{_SENTINEL}$1")
     blocks = F.split(marked, _SENTINEL)
     rest = F.slice(blocks, 2, F.greatest(F.size(blocks) - 1, F.lit(0)))
     out = df.filter(long_enough).select(
         *[c for c in df.columns if c != text], F.posexplode(rest).alias("pos", "block")
     )
-    return out.withColumn("marker_id", F.regexp_extract("block", f"(?diuU)^{CASE_MARKER}", 1))
+    return out.withColumn("marker_id", F.regexp_extract("block", f"(?di)^{_MARKER}", 1))
 
 
 def _let(value: Column, use) -> Column:
@@ -228,17 +230,18 @@ def _let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)
 
 
-def _case_pairs(block: Column) -> Column:
-    """(field, value) of every ``name: value`` line whose name holds a known label."""
-    lines = F.filter(F.transform(F.split(block, "\n"), strip), lambda l: l.contains(":"))
-    pairs = F.transform(
-        lines,
-        lambda l: F.struct(
-            case_field_of(F.substring_index(l, ":", 1)).alias("field"),
-            strip(F.substring(l, F.instr(l, ":") + 1, F.length(l))).alias("value"),
-        ),
-    )
-    return F.filter(pairs, lambda p: p["field"].isNotNull())
+def _case_pairs(block: str) -> Column:
+    """(field, value) of every ``name: value`` line whose name holds a known label.
+
+    The first listed label contained in the name decides. Each line's name is cleaned once, in a
+    step of its own, before the labels are tried on it.
+    """
+    lines = f"filter(transform(split({block}, '\\n'), l -> {_strip('l')}), l -> contains(l, ':'))"
+    name, value = _strip("substring_index(l, ':', 1)"), _strip("substr(l, instr(l, ':') + 1)")
+    parts = f"transform({lines}, l -> named_struct('name', lower({name}), 'value', {value}))"
+    whens = " ".join(f"WHEN contains(p.name, '{label}') THEN '{target}'" for label, target in CASE_LABELS)
+    named = f"transform({parts}, p -> named_struct('field', CASE {whens} END, 'value', p.value))"
+    return F.expr(f"filter({named}, p -> p.field IS NOT NULL)")
 
 
 def parse_cases(df: DataFrame, text: str = "text", min_fields: int = 8) -> DataFrame:
@@ -267,7 +270,7 @@ def parse_cases(df: DataFrame, text: str = "text", min_fields: int = 8) -> DataF
         ]
         return sum(present, F.lit(0)) >= min_fields
 
-    cases = F.filter(_let(_case_pairs(F.col("block")), case), enough)
+    cases = F.filter(_let(_case_pairs("block"), case), enough)
     kept = [c for c in blocks.columns if c not in ("block", "marker_id")]
     return blocks.select(*kept, F.explode(cases).alias("c")).select(*kept, "c.*")
 
