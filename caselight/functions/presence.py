@@ -4,18 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-# Characters removed by a plain string strip: ASCII and Unicode white space plus the four
-# information separators.
-WHITESPACE = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
-    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
-    "\u2028\u2029\u202f\u205f\u3000"
-)
+# Every white space character a text library strips, as a regex class: ASCII and Unicode white space
+# and the four information separators. Spelled out, it matches far faster than the Unicode mode.
+SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+ENDS = rf"\A{SPACE}+|{SPACE}+\z"
 
 
 def strip(c: Column) -> Column:
-    """Trim every kind of white space at both ends."""
-    return F.btrim(c, F.lit(WHITESPACE))
+    """Trim every kind of white space at both ends.
+
+    One regex pass: trimming by a list of characters allocates per character, which costs
+    hundreds of microseconds on a whole text.
+    """
+    return F.regexp_replace(c, ENDS, "")
+
+
+def long_enough(c: Column, chars: int) -> Column:
+    """Whether the stripped text has at least ``chars`` characters (two or more)."""
+    solid = SPACE.replace("[", "[^", 1)
+    return F.coalesce(c.rlike(rf"(?s){solid}.{{{chars - 2},}}{solid}"), F.lit(False))
 
 
 def field(df: DataFrame, name: str) -> Column:

@@ -8,11 +8,7 @@ from __future__ import annotations
 
 import re
 
-from caselight.functions.presence import WHITESPACE
-
-# Unicode white space spelled out: far cheaper to match than the Unicode class mode.
-SPACE = r"[\s\x1c-\x1f\x85\xa0  -     　]"
-_STRIPPED = "'" + "".join(f"\\u{ord(c):04x}" for c in WHITESPACE) + "'"
+from caselight.functions.presence import ENDS, SPACE
 
 
 def quote(text: str | None) -> str:
@@ -29,7 +25,7 @@ def regex(pattern: str, flags: str = "d") -> str:
 
 
 def strip(value: str) -> str:
-    return f"btrim({value}, {_STRIPPED})"
+    return f'regexp_replace({value}, r"{ENDS}", "")'
 
 
 def column(names, name: str) -> str:

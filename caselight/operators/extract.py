@@ -10,7 +10,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from caselight.functions.presence import strip
+from caselight.functions.presence import long_enough, strip
 from caselight.functions.quality import is_binary_junk
 from caselight.functions.sql import SPACE as _SPACE, regex as _rx, strip as _strip
 from caselight.functions.text import code_to_bool, normalize_gender
@@ -62,10 +62,10 @@ def _field_sql(
     def guarded(label: str, value: str) -> str:
         return f"CASE WHEN contains({lowered}, '{label.lower()}') THEN {value} END"
 
-    long_enough = f"length(v) >= {min_chars}"
+    enough = f"length(v) >= {min_chars}"
     if kind is None:
         values = [
-            guarded(label, "coalesce(" + ", ".join(_usable(v, long_enough) for v in _layouts(text, label, whole_word)) + ")")
+            guarded(label, "coalesce(" + ", ".join(_usable(v, enough) for v in _layouts(text, label, whole_word)) + ")")
             for label in labels
         ]
         return f"substring(coalesce({', '.join(values)}), 1, 500)"
@@ -76,7 +76,7 @@ def _field_sql(
     fmt = _rx(fmt)
 
     def candidates(label: str) -> str:
-        values = f"filter(array({', '.join(_layouts(text, label, whole_word))}), v -> {long_enough})"
+        values = f"filter(array({', '.join(_layouts(text, label, whole_word))}), v -> {enough})"
         typed = (
             f"transform({values}, v -> named_struct('hit', substring(v, 1, 500) rlike {fmt}, "
             f"'v', {_strip(f'regexp_extract(substring(v, 1, 500), {fmt}, 0)')}))"
@@ -189,7 +189,7 @@ def parse_reports(df: DataFrame, text: str = "text", short_fields_min_chars: int
     """
     prepared = with_lowered(df, text)
     low = "_lowered"
-    long_enough = F.length(strip(F.col(text))) >= MIN_TEXT_CHARS
+    readable = long_enough(F.col(text), MIN_TEXT_CHARS)
     plain = {"min_chars": 2, "whole_word": whole_word, "full_year": full_year}
     special = {
         "drug_name": drug_name(text, low, **plain),
@@ -206,7 +206,7 @@ def parse_reports(df: DataFrame, text: str = "text", short_fields_min_chars: int
         short = name in ("patient_gender", "patient_age")
         return labelled_field(text, low, labels, kind, **(plain | {"min_chars": short_fields_min_chars if short else 2}))
 
-    fields = {name: F.when(long_enough, F.nullif(value(name), F.lit(""))) for name in REPORT_FIELDS}
+    fields = {name: F.when(readable, F.nullif(value(name), F.lit(""))) for name in REPORT_FIELDS}
     return prepared.withColumns(fields).drop(low)
 
 
@@ -215,13 +215,13 @@ def split_cases(df: DataFrame, text: str = "text") -> DataFrame:
 
     The text before the first marker is dropped. ``pos`` counts from 0 inside a document.
     """
-    long_enough = F.length(strip(F.col(text))) >= MIN_TEXT_CHARS
     marked = F.regexp_replace(F.col(text), f"(?di)({_MARKER})", f"{_SENTINEL}$1")
     blocks = F.split(marked, _SENTINEL)
     rest = F.slice(blocks, 2, F.greatest(F.size(blocks) - 1, F.lit(0)))
-    out = df.filter(long_enough).select(
-        *[c for c in df.columns if c != text], F.posexplode(rest).alias("pos", "block")
-    )
+    # Short texts give no blocks. Said inside the generator, a text computed upstream is not
+    # computed a second time for a pushed-down filter.
+    readable = F.when(long_enough(F.col(text), MIN_TEXT_CHARS), rest)
+    out = df.select(*[c for c in df.columns if c != text], F.posexplode(readable).alias("pos", "block"))
     return out.withColumn("marker_id", F.regexp_extract("block", f"(?di)^{_MARKER}", 1))
 
 
@@ -277,7 +277,7 @@ def parse_cases(df: DataFrame, text: str = "text", min_fields: int = 8) -> DataF
 
 def first_usable_text(df: DataFrame, key: str = "doc_id", rank: str = "method_rank", text: str = "text", min_chars: int = MIN_TEXT_CHARS) -> DataFrame:
     """Per document the text of the best-ranked method that gave enough characters."""
-    usable = df.filter(F.length(strip(F.col(text))) >= min_chars)
+    usable = df.filter(long_enough(F.col(text), min_chars))
     others = [c for c in df.columns if c not in (key, rank)]
     best = usable.groupBy(key).agg(
         F.min_by(F.struct(rank, *others), F.col(rank)).alias("best")
