@@ -108,7 +108,7 @@ def identify(docs: DataFrame, model: dict[str, bytes], text: str = "text", colum
 
     def score(texts: pa.Array) -> pa.Array:
         tools = cached(("langid", key), lambda: compressors(sent.value))
-        rows = [classify(t.as_py(), names, tools, margin) for t in texts]
+        rows = [classify(t, names, tools, margin) for t in texts.to_pylist()]
         kinds = (pa.string(), pa.float64(), pa.float64(), pa.bool_())
         return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["lang", "score", "margin", "accepted"])
 

@@ -4,13 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselight.llm import langid
+import corpus_pipeline
+from caselight.llm import decontaminate, langid, packing, pii, simhash
 from caselight.llm.common import read, remainder
 
 
+def listed(kinds: tuple[str, ...]) -> Column:
+    """Spans of the kinds as kind:start:end, comma-joined in the order they have."""
+    chosen = F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    return F.array_join(F.transform(chosen, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def count_of(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
+def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents", "doc_id", "text")
+    found = pii.find(docs, pii.learn(docs))
+    return found.select(
+        "doc_id", *[count_of("spans", k).alias(f"n_{k}") for k in pii.BASE],
+        F.sha2(listed(pii.BASE), 256).alias("base_sha256"), listed(pii.KINDS).alias("spans"),
+    )
+
+
 def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents", "doc_id", "text", "lang")
     model = langid.learn(docs.where(remainder(F.col("doc_id"), 5) != 0))
@@ -21,5 +41,48 @@ def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op6_language_id": op6_language_id}
-ORACLES: dict[str, str] = {}
+def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(read(spark, folder, "documents", "doc_id", "text"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(read(spark, folder, "documents", "doc_id", "text"))
+
+
+def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents", "doc_id", "text")
+    c = decontaminate.contamination(docs, read(spark, folder, "benchmark", "item_id", "text"))
+    return c.select(
+        "doc_id", F.col("contamination.n_words").alias("n_words"), F.col("contamination.n_hit").alias("n_hit"),
+        F.size("contamination.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("contamination.items", ","), 256).alias("items_sha256"), (F.col("contamination.n_hit") > 0).alias("contaminated"),
+    )
+
+
+#: Words of a column and all runs of its windows' sizes, joined with the benchmark's windows.
+OP10 = r"""
+WITH item AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+win AS (SELECT DISTINCT item_id, least(10, len(w)) AS k, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS gram
+        FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM item WHERE len(w) > 0)),
+doc AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+gram AS (SELECT r, k, i, array_to_string(w[i:i + k - 1], ' ') AS gram
+         FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM doc, (SELECT DISTINCT k FROM win) WHERE len(w) >= k)),
+hit AS (SELECT r, i, gram.k AS k, item_id FROM gram JOIN win ON gram.gram = win.gram AND gram.k = win.k),
+words AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + k)) AS p FROM hit) GROUP BY r),
+items AS (SELECT r, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM hit WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(words.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(items.n, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(items.ids, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
+FROM doc LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_pii": op5_pii,
+    "op6_language_id": op6_language_id,
+    "op8_simhash": op8_simhash,
+    "op9_packing": op9_packing,
+    "op10_decontamination": op10_decontamination,
+    "pipeline": corpus_pipeline.run,
+}
+ORACLES: dict[str, str] = {"op10_decontamination": OP10}
