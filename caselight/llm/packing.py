@@ -23,6 +23,8 @@ from caselight.sources.staging import stage
 CAPACITY, END = 1024, 2
 #: Nodes the branch-and-bound may open beyond the first descent, and fillings it tries at each.
 NODES, WIDTH = 300, 3
+#: Sums that are looked at for further fillings of one bin, the fullest first, once there is one.
+LOOKS = 4
 
 
 # ---------------------------------------------------------------- pieces
@@ -153,7 +155,9 @@ def fillings(room: int, counts: dict[int, int], lengths: list[int], reach: list[
 
     found: list[tuple[int, ...]] = []
     able = (reach[1] | reach[2] | reach[3]) & ((1 << room + 1) - 1)
-    while able and len(found) < width:
+    looks = 0
+    while able and len(found) < width and (looks < LOOKS or not found):
+        looks += 1
         total = able.bit_length() - 1
         able &= ~(1 << total)
         if not total:
