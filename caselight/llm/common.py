@@ -58,6 +58,50 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+_rng = np.random.default_rng(20240607)
+_BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
+_BYTE[65:91] = _BYTE[97:123]  # ASCII capitals hash like small letters
+_BASE = (np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64)))
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Spread 64-bit values, so that any of their bits can be used."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def word_spans(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and document of the runs of bytes that ``inside`` (a table of 256) marks; none spans two documents."""
+    n = len(raw)
+    marked = np.zeros(n + 2, bool)
+    marked[1:-1] = inside[raw]
+    begins, ends = marked[1:-1] & ~marked[:-2], marked[1:-1] & ~marked[2:]
+    edge = offsets[:-1][offsets[:-1] < offsets[1:]]
+    begins[edge] = marked[1:-1][edge]
+    edge = edge[edge > 0] - 1
+    ends[edge] = marked[1:-1][edge]
+    start = np.flatnonzero(begins)
+    return start, np.flatnonzero(ends) + 1, np.searchsorted(offsets, start, "right") - 1
+
+
+def span_hashes(raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans, equal for equal bytes but for the case of ASCII letters.
+
+    A hash is a polynomial modulo 2^64, taken as a difference of one running sum and shifted back to the span's start.
+    """
+    n = len(raw)
+    if len(_powers[0]) <= n:
+        for i, base in enumerate(_BASE):
+            steps = np.full(max(n, 1 << 20) + 4096, base)
+            steps[0] = 1
+            _powers[i] = np.multiply.accumulate(steps)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTE[raw] * _powers[0][:n], out=total[1:])
+    return mixed((total[stop] - total[start]) * _powers[1][start] + (stop - start).astype(np.uint64))
+
+
 def slabs(offsets: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
     """Runs of rows [a, b) of about ``size`` bytes, so that temporary arrays stay small."""
     a, n = 0, len(offsets) - 1

@@ -8,10 +8,101 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from caselight.llm import decontaminate, langid, packing, pii, simhash
+from caselight.llm import decontaminate, langid, packing, pii, quality, secrets, simhash, sketch, toxicity, urls
 from caselight.llm.common import read, remainder
 
 
+RULES = [
+    urls.Rule(True, "org", "/"), urls.Rule(False, "example.org", "/es/"), urls.Rule(False, "example.org", "/en/1"), urls.Rule(True, "com", "/fr/"), urls.Rule(False, "com", "/de/"),
+]
+#: A url with this parameter puts its host and path on the list; other urls of the same page are then blocked, too.
+TRACKED = r"\?(?:[^#]*&)?utm_source="
+
+
+def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    pages = read(spark, folder, "pages", "page_id", "url")
+    tracked = pages.where(F.col("url").rlike(TRACKED))
+    return urls.judge(pages, tracked.select(F.concat(urls.host(F.col("url")), urls.path(F.col("url"))).alias("key")), RULES)
+
+
+OP1 = r"""
+WITH p AS (SELECT page_id, url, translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                  coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r(name, allow, h, pre) AS (VALUES ('org/', true, 'org', '/'), ('example.org/es/', false, 'example.org', '/es/'), ('example.org/en/1', false, 'example.org', '/en/1'),
+                                  ('com/fr/', true, 'com', '/fr/'), ('com/de/', false, 'com', '/de/')),
+listed AS (SELECT DISTINCT host || path AS key FROM p WHERE regexp_matches(url, '\?([^#]*&)?utm_source=') AND host || path != ''),
+best AS (SELECT p.*, (SELECT max_by(struct_pack(name := name, allow := allow), length(name)) FROM r WHERE (p.host = r.h OR ends_with(p.host, '.' || r.h)) AND starts_with(p.path, r.pre)) AS rule FROM p)
+SELECT page_id, host, path, rule.name AS rule,
+       CASE WHEN rule IS NOT NULL THEN CASE WHEN rule.allow THEN 'allow' ELSE 'block' END WHEN host || path IN (SELECT key FROM listed) THEN 'block' ELSE 'allow' END AS verdict
+FROM best
+"""
+
+
+def scored(found: DataFrame, parts: int, held: int) -> DataFrame:
+    return found.select("doc_id", (remainder(F.col("doc_id"), parts) == held).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents", "doc_id", "text")
+    model = toxicity.learn(docs, read(spark, folder, "labels", "doc_id", "toxic"), remainder(F.col("doc_id"), 4) != 2)
+    return scored(toxicity.score(docs, model), 4, 2)
+
+
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents", "doc_id", "text")
+    model = quality.learn(docs, read(spark, folder, "labels", "doc_id", "quality"), remainder(F.col("doc_id"), 5) != 0)
+    return scored(quality.score(docs, model), 5, 0)
+
+
+def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.scan(read(spark, folder, "documents", "doc_id", "text"), column="spans")
+    return found.select(
+        "doc_id", *[count_of("spans", k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(listed(("assign", "access", "hex")), 256).alias("base_sha256"), listed(secrets.KINDS).alias("spans"),
+    )
+
+
+def _found_sql(kind: str, number: int, pattern: str, extra: str = "TRUE") -> str:
+    """Matches of a pattern with their places, from the lengths of matches and of what lies between them."""
+    return f"""SELECT r, {number} AS k, s, s + length(m) AS e, m FROM (
+  SELECT r, unnest(ms) AS m, unnest(list_transform(ms, lambda x, i: list_sum(list_transform(gs[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda g: length(g))), 0))) AS s
+  FROM (SELECT r, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS gs FROM d)) WHERE {extra}"""
+
+
+def _op4_sql() -> str:
+    assign = secrets.ASSIGN.replace("'", "''")
+    candidate = "[A-Za-z0-9+/_-]{%d,}" % secrets.WINDOW
+    allowed = " AND ".join(f"NOT regexp_matches(m, '{p}')" for p in secrets.ALLOWED)
+    hex_limit, lower_limit, mixed_limit = secrets.ADDED.values()
+    names = "[" + ", ".join(f"'{k}'" for k in secrets.KINDS) + "]"
+    w = secrets.WINDOW
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+base AS (SELECT r, k, s, e FROM ({_found_sql("assign", 0, assign, f"length(regexp_extract(m, '{assign}', 2)) >= {secrets.ASSIGN_LEAST}")})
+  UNION ALL SELECT r, k, s, e FROM ({_found_sql("access", 1, secrets.ACCESS)}) UNION ALL SELECT r, k, s, e FROM ({_found_sql("hex", 2, secrets.HEX)})),
+cand AS (SELECT row_number() OVER () AS c, * FROM ({_found_sql("candidate", -1, candidate, f"regexp_matches(m, '[0-9]') AND {allowed}")}) f
+  WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = f.r AND b.s <= f.s AND b.e >= f.e)),
+win AS (SELECT c, r, s, i, substr(m, i + 1, {w}) AS w FROM (SELECT *, unnest(range(0, length(m) - {w - 1})) AS i FROM cand)),
+entropy AS (SELECT c, i, log2({w}) - sum(n * log2(n)) / {w} AS h FROM (SELECT c, i, ch, count(*) AS n FROM (SELECT c, i, unnest(string_split(w, '')) AS ch FROM win) GROUP BY ALL) GROUP BY ALL),
+kinds AS (SELECT c, r, s, i, CASE
+    WHEN regexp_matches(w, '^([0-9a-f]+|[0-9A-F]+)$') AND regexp_matches(w, '[0-9]') AND regexp_matches(w, '[a-fA-F]') THEN CASE WHEN h > {hex_limit} THEN 3 END
+    WHEN regexp_matches(w, '^[0-9a-z]+$') AND length(regexp_replace(w, '[^0-9]', '', 'g')) > 2 AND length(regexp_replace(w, '[^a-z]', '', 'g')) > 2 AND h > {lower_limit} THEN 4
+    WHEN regexp_matches(w, '[0-9]') AND regexp_matches(w, '[a-z]') AND regexp_matches(w, '[A-Z]') AND h > {mixed_limit} THEN 5 END AS k
+  FROM win JOIN entropy USING (c, i)),
+marked AS (SELECT *, CASE WHEN lag(k) OVER o = k AND i <= lag(i) OVER o + {w} THEN 0 ELSE 1 END AS fresh FROM kinds WHERE k IS NOT NULL WINDOW o AS (PARTITION BY c ORDER BY i)),
+islands AS (SELECT *, sum(fresh) OVER (PARTITION BY c ORDER BY i) AS g FROM marked),
+added AS (SELECT r, any_value(k) AS k, any_value(s) + min(i) AS s, any_value(s) + max(i) + {w} AS e FROM islands GROUP BY c, r, g),
+spans AS (SELECT * FROM base UNION ALL SELECT * FROM added a WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = a.r AND b.s < a.e AND b.e > a.s)),
+listed AS (SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+  string_agg(({names})[k + 1] || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, k, e) FILTER (k < 3) AS base, string_agg(({names})[k + 1] || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, k, e) AS spans FROM spans GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN listed USING (r)"""
+
+
+def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return sketch.compared(read(spark, folder, "documents", "doc_id", "text"))
+
+
 def listed(kinds: tuple[str, ...]) -> Column:
     """Spans of the kinds as kind:start:end, comma-joined in the order they have."""
     chosen = F.filter("spans", lambda s: s["kind"].isin(*kinds))
@@ -78,11 +169,16 @@ FROM doc LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
+    "op2_toxicity": op2_toxicity,
+    "op3_quality": op3_quality,
+    "op4_secrets": op4_secrets,
     "op5_pii": op5_pii,
     "op6_language_id": op6_language_id,
+    "op7_fingerprints": op7_fingerprints,
     "op8_simhash": op8_simhash,
     "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"op10_decontamination": OP10}
+ORACLES: dict[str, str] = {"op1_url_filter": OP1, "op4_secrets": _op4_sql(), "op10_decontamination": OP10}

@@ -303,5 +303,6 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     joined = lowest.join(roots, "fp")
     best = joined.groupBy("root").agg(F.min("low").alias("component"))
     linked = joined.join(best, "root").select("fp", "component")
-    final = lowest.join(linked, "fp", "left").select("fp", F.coalesce("component", "low").alias("component"))
+    # written, so that the join below deals both sides itself and Spark can split the rows of a common fingerprint
+    final = stage(lowest.join(linked, "fp", "left").select("fp", F.coalesce("component", "low").alias("component")))
     return marked.join(final, "fp").select(F.col("id").alias(id), "fp", "component")

@@ -15,75 +15,37 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caselight.llm.common import applied, buffers, slabs
+from caselight.llm.common import applied, buffers, mixed, slabs, span_hashes, word_spans
 from caselight.sources.shipping import ship
 
 SHINGLE, SCALE = 5, 8
 #: Bytes handled at once; a longer document is handled in overlapping runs of words of this size.
 SLAB = 1 << 20
 
-_rng = np.random.default_rng(20240607)
-_BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
-_BYTE[65:91] = _BYTE[97:123]  # ASCII capitals hash like small letters
-_PLACE = _rng.integers(0, 2**64, SHINGLE, dtype=np.uint64) | np.uint64(1)
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, *range(9, 14)]] = True
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(n: int) -> list[np.ndarray]:
-    """Powers 0..n of the base and of its inverse, modulo 2^64."""
-    if len(_powers[0]) <= n:
-        for i, base in enumerate((_BASE, _BASE_INVERSE)):
-            steps = np.full(max(n, SLAB + 4096) + 1, base)
-            steps[0] = 1
-            _powers[i] = np.multiply.accumulate(steps)
-    return _powers
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+_PLACE = np.random.default_rng(11).integers(0, 2**64, SHINGLE, dtype=np.uint64) | np.uint64(1)
+_INSIDE = np.ones(256, bool)
+_INSIDE[[32, *range(9, 14)]] = False
 
 
 def shingle_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all shingles of several documents, and the document of each.
 
-    A word's hash is a polynomial over its bytes, taken as a difference of one running sum; a shingle's combines those of its
-    words. A document of fewer words than a shingle gives one hash of them all.
+    A shingle's hash combines those of its words, by place. A document of fewer words than a shingle gives one hash of them all.
     """
-    n = len(raw)
-    inside = np.zeros(n + 2, bool)
-    inside[1:-1] = ~_SPACE[raw]
-    begins = inside[1:-1] & ~inside[:-2]
-    edge = offsets[:-1][(offsets[:-1] < n) & (offsets[:-1] < offsets[1:])]
-    begins[edge] = inside[1:-1][edge]
-    start = np.flatnonzero(begins)
+    start, stop, doc = word_spans(raw, offsets, _INSIDE)
     if not len(start):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    ends = inside[1:-1] & ~inside[2:]
-    ends[edge[edge > 0] - 1] = inside[1:-1][edge[edge > 0] - 1]
-    stop = np.flatnonzero(ends) + 1
-    power, inverse = _power_tables(n)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * power[:n], out=total[1:])
-    word = _mixed((total[stop] - total[start]) * inverse[start] + (stop - start).astype(np.uint64))
-    doc = np.searchsorted(offsets, start, "right") - 1
+    word = span_hashes(raw, start, stop)
     # every word starts a window of SHINGLE places; those beyond its document stay empty
     padded = np.concatenate([word, np.zeros(SHINGLE - 1, np.uint64)])
     owner = np.concatenate([doc, np.full(SHINGLE - 1, -1)])
-    m = len(word)
-    whole = owner[SHINGLE - 1 :][:m] == doc
+    whole = owner[SHINGLE - 1 :] == doc
     first = np.append(True, doc[1:] != doc[:-1])
-    keep = whole | first  # the first word of a short document
-    at = np.flatnonzero(keep)
+    at = np.flatnonzero(whole | first)  # a short document has its first word's window
     h = np.zeros(len(at), np.uint64)
     for j in range(SHINGLE):
         h += np.where(owner[at + j] == doc[at], padded[at + j] * _PLACE[j], np.uint64(0))
-    return _mixed(h), doc[at]
+    return mixed(h), doc[at]
 
 
 def _runs(raw: np.ndarray):
