@@ -1,4 +1,4 @@
-"""String similarity: the matching-blocks ratio as an Arrow UDF, edit similarity as built-ins."""
+"""String similarity: edit similarity as built-ins, and, where a caller asks for it, the matching-blocks ratio as an Arrow UDF."""
 
 from __future__ import annotations
 
@@ -31,7 +31,7 @@ def round3(x: pd.Series) -> pd.Series:
 def edit_similarity(a: Column, b: Column) -> Column:
     """1 - edit distance / longer length, all inside the JVM."""
     longer = F.greatest(F.length(a), F.length(b))
-    return F.when(
+    return F.when((a == b) & (a != ""), F.lit(1.0)).when(
         (a != "") & (b != ""), F.lit(1.0) - F.levenshtein(a, b) / F.nullif(longer, F.lit(0))
     ).otherwise(F.lit(0.0))
 
