@@ -5,6 +5,9 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from caselight.streaming.sinks import write_batches
 
 
 def snapshot_changes(
@@ -37,3 +40,17 @@ def snapshot_changes(
         F.lit(at).alias("changed_at"),
         F.lit("SUCCESS").alias("status"),
     )
+
+
+def streamed_changes(table: DataFrame, arriving: DataFrame, name: str, path: str, checkpoint: str, key: str = "id", operations: tuple[str, ...] = ("INSERT", "UPDATE")) -> StreamingQuery:
+    """Write audit rows for rows that arrive as a stream, against the table as it is when each micro-batch comes.
+
+    Each batch looks up its own keys only. What is not in a batch did not change, so deletions need their own rows and are not seen
+    here. ``operations`` lists what is audited for the table.
+    """
+
+    def step(batch: DataFrame, batch_id: int) -> DataFrame:
+        old = table.join(batch.select(key).distinct(), key, "left_semi")
+        return snapshot_changes(old, batch, name, dt.datetime.now(dt.timezone.utc).replace(tzinfo=None), key, operations)
+
+    return write_batches(arriving, path, checkpoint, "append", step)

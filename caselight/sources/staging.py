@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,24 +12,43 @@ from pyspark.sql import DataFrame, SparkSession
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for staged tables and streaming state, named by ``spark.checkpoint.dir``.
 
-    Only a local session that names none gets a temporary folder.
+    On a cluster it must be named, and must not be on one machine's disk. A session whose executors share the driver's machine
+    (``local``, ``local-cluster``) may name a local folder; only a plain local one that names none gets a temporary folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
     if folder:
+        local = folder.startswith("file:") or (folder.startswith("/") and _default_scheme(spark) == "file")
+        if local and not master.startswith("local"):
+            raise ValueError(f"spark.checkpoint.dir names a folder of one machine: {folder}")
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", master):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     folder = tempfile.mkdtemp(prefix="caselight-")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+def _default_scheme(spark: SparkSession) -> str:
+    return spark._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///").split(":")[0]
+
+
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A folder name of its own in the shared folder; it is deleted when the session ends."""
+    path = f"{work_dir(spark)}/caselight-{kind}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(place)
+    files.deleteOnExit(place)
+    return path
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write a frame that several later steps read, and return the written table.
 
     The steps then share one evaluation, a lost executor costs no recomputation, and the planner
-    sees the table's real size.
+    sees the table's real size. The folder goes when the session ends, as the table is read for as long as frames over it are in use.
     """
-    path = f"{work_dir(df.sparkSession)}/caselight-stage-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, "stage") + "/rows"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from caselight.operators.clean import clean_forms
-from caselight.operators.extract import parse_cases, parse_reports
-from caselight.operators.rules import check_cases, check_reports
+from caselight.operators.extract import parse_reports
+from caselight.operators.rules import check_reports
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, schema: T.StructType, max_files: int = 1000) -> DataFrame:
@@ -27,8 +27,3 @@ def text_stream(spark: SparkSession, folder: str, max_files: int = 1000) -> Data
 def checked_reports(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Extract, clean and check reports; row-local, so batch and stream share it."""
     return check_reports(clean_forms(parse_reports(documents.select(key, text), text).drop(text), key))
-
-
-def checked_cases(documents: DataFrame, text: str = "text") -> DataFrame:
-    """Split line listings and check every case."""
-    return check_cases(parse_cases(documents, text))

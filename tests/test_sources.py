@@ -7,8 +7,8 @@ from caselight.operators import privacy as Y
 from caselight.operators import relations as R
 from caselight.schemas import SUBMISSIONS
 from caselight.sources import changes, documents, sinks
-from caselight.streaming import intake, state
-from caselight.streaming.sinks import append_to, drain
+from caselight.streaming import intake
+from caselight.streaming.sinks import append_to, drain, finish
 
 NOW = dt.datetime(2024, 5, 1, 12, 0)
 
@@ -132,16 +132,24 @@ def test_restarted_sink_writes_once(spark, tmp_path):
     spark.range(10).write.parquet(str(src))
     out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
     for _ in range(2):
-        append_to(spark.readStream.schema("id long").parquet(str(src)), out, ck).awaitTermination(120)
+        finish(append_to(spark.readStream.schema("id long").parquet(str(src)), out, ck))
     assert spark.read.parquet(out).count() == 10
 
 
-def test_same_day_state_over_batches(spark, tmp_path):
-    src = tmp_path / "src"
-    rows = [(i, f"S{i}", "Dr. A" if i % 2 else "dr a", "2024-01-01", i) for i in range(6)]
-    schema = "pos long, id string, applicant_name string, created_date string, drug_count int"
-    for part in (rows[:3], rows[3:]):
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(src))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src))
-    got = sorted((r.submission_1_id, r.submission_2_id) for r in drain(spark, state.same_day_pairs(stream), "sd").collect())
-    assert got == [(f"S{i}", f"S{i + 1}") for i in range(5)]
+def test_streamed_changes_look_up_their_own_keys(spark, tmp_path):
+    table = spark.createDataFrame([("1", "a"), ("2", "b"), ("3", "c")], "id string, status string")
+    spark.createDataFrame([("1", "a"), ("2", "x"), ("9", "n")], "id string, status string").write.parquet(str(tmp_path / "src"))
+    arriving = spark.readStream.schema("id string, status string").parquet(str(tmp_path / "src"))
+    finish(changes.streamed_changes(table, arriving, "t", str(tmp_path / "out"), str(tmp_path / "ck")))
+    rows = spark.read.parquet(str(tmp_path / "out/batch=*")).collect()
+    assert {(r.action, r.entity_id) for r in rows} == {("UPDATE", "2"), ("INSERT", "9")}
+    assert {r.action for r in changes.snapshot_changes(table, arriving_rows(spark), "t", NOW, operations=("DELETE",)).collect()} == {"DELETE"}
+
+
+def arriving_rows(spark):
+    return spark.createDataFrame([("1", "a")], "id string, status string")
+
+
+def test_expired_rows_and_stored_tables(spark, tmp_path):
+    spark.range(3).write.orc(str(tmp_path / "t"))
+    assert documents.table(spark, str(tmp_path / "t"), "orc").count() == 3
