@@ -95,8 +95,8 @@ def export_statistics(submissions: DataFrame, passed: list[str] = EXPORT_PASSED_
 
 
 def result_distribution(results: DataFrame, member: str) -> DataFrame:
-    """Count per value of a member of the result JSON objects; absent counts as Unknown."""
-    is_object = F.coalesce(strip(F.col("result")).startswith("{"), F.lit(False))
+    """Count per value of a member of the result JSON objects; absent counts as Unknown, text that is no object is left out."""
+    is_object = F.json_object_keys("result").isNotNull()
     value = F.coalesce(F.get_json_object("result", f"$.{member}"), F.lit("Unknown"))
     return (
         results.filter(is_object).groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy("value")
@@ -123,11 +123,11 @@ def _critical_issues() -> Column:
     return F.from_json(F.get_json_object("result", "$.critical_issues"), "array<string>")
 
 
-def _last_form_check(results: DataFrame) -> DataFrame:
-    """Completeness and status of a submission's last form check."""
-    forms = results.filter(is_form_check(F.col("check_type")))
-    last = F.max_by(F.struct(_completeness().alias("completeness"), "status"), "pos").alias("form")
-    return forms.groupBy("submission_id").agg(last)
+def _last_form() -> Column:
+    """Aggregate: completeness and status of the last form check, null without one."""
+    return F.max_by(
+        F.struct(_completeness().alias("completeness"), "status"), F.when(is_form_check(F.col("check_type")), F.col("pos"))
+    ).alias("form")
 
 
 def first_issues(results: DataFrame, k: int = 3) -> DataFrame:
@@ -148,10 +148,8 @@ def first_issues(results: DataFrame, k: int = 3) -> DataFrame:
 
 def submission_overview(submissions: DataFrame, results: DataFrame) -> DataFrame:
     """Every submission with its form status, first issues and number of checks."""
-    counts = results.groupBy("submission_id").agg(F.count(F.lit(1)).alias("checks_count"))
-    extra = counts.join(_last_form_check(results), "submission_id", "left").join(
-        first_issues(results), "submission_id", "left"
-    ).withColumnRenamed("submission_id", "id")
+    counts = results.groupBy("submission_id").agg(F.count(F.lit(1)).alias("checks_count"), _last_form())
+    extra = counts.join(first_issues(results), "submission_id", "left").withColumnRenamed("submission_id", "id")
     shown = submissions.withColumns(display_defaults(submissions))
     return shown.join(extra, "id", "left").select(
         *submissions.columns,
@@ -165,13 +163,10 @@ def submission_overview(submissions: DataFrame, results: DataFrame) -> DataFrame
 def submission_page(submissions: DataFrame, results: DataFrame, page: int = 1, per_page: int = 10) -> DataFrame:
     """One page of submissions, newest first, with totals as columns.
 
-    The page is cut first. Its ids, at most ``per_page``, then filter the results, so only the
-    page's results are aggregated.
+    The page is cut first. Its ids then filter the results, so only the page's results are aggregated.
     """
-    if per_page > 10_000:
-        raise ValueError("per_page is limited to 10000 rows; use submission_overview for whole tables")
     rows = submissions.orderBy(F.desc("created_at"), F.asc("id")).offset((page - 1) * per_page).limit(per_page)
-    ids = F.broadcast(rows.select(F.col("id").alias("submission_id")))
+    ids = rows.select(F.col("id").alias("submission_id"))
     total = submissions.select(F.count(F.lit(1))).scalar()
     return submission_overview(rows, results.join(ids, "submission_id", "left_semi")).withColumns(
         {"page": F.lit(page), "per_page": F.lit(per_page), "total": total}
@@ -195,8 +190,8 @@ def submission_status(submissions: DataFrame, results: DataFrame) -> DataFrame:
     )
 
 
-def check_counts(results: DataFrame) -> DataFrame:
-    """Per submission the number of checks by status."""
+def check_counts(results: DataFrame, *more: Column) -> DataFrame:
+    """Per submission the number of checks by status, and further aggregates."""
 
     def n(status: str) -> Column:
         return F.count_if(F.col("status") == status)
@@ -207,6 +202,7 @@ def check_counts(results: DataFrame) -> DataFrame:
         n("FAIL").alias("checks_failed"),
         n("SKIPPED").alias("checks_skipped"),
         n("ERROR").alias("checks_errored"),
+        *more,
     )
 
 
@@ -215,9 +211,7 @@ COUNT_COLUMNS = ["total_checks", "checks_passed", "checks_failed", "checks_skipp
 
 def results_rollup(submissions: DataFrame, results: DataFrame) -> DataFrame:
     """Check counts, completeness and overall status of every submission."""
-    extra = check_counts(results).join(_last_form_check(results), "submission_id", "left").withColumnRenamed(
-        "submission_id", "id"
-    )
+    extra = check_counts(results, _last_form()).withColumnRenamed("submission_id", "id")
     return submissions.select("id", "filename", "status", "created_at").join(extra, "id", "left").select(
         "id", "filename", "status", "created_at",
         F.when(F.col("status") == "completed", "PASS").otherwise("FAIL").alias("overall_status"),
@@ -269,7 +263,13 @@ def submission_report(submissions: DataFrame, results: DataFrame, ids: list[str]
 
 
 def priority_ranking(cases: DataFrame, submissions: DataFrame, k: int | None = None) -> DataFrame:
-    """Cases with their submission, highest priority first; the top k where asked for."""
+    """Cases with their submission, highest priority first; the top k where asked for.
+
+    The top k are ranked on cases that have a submission, with the ids of submissions only, and just they are joined to the rest.
+    """
+    if k is not None:
+        known = submissions.select(F.col("id").alias("submission_id"))
+        cases = cases.join(known, "submission_id", "left_semi").orderBy(F.desc("priority_score"), F.asc("id")).limit(k)
     joined = cases.join(
         submissions.select(F.col("id").alias("submission_id"), "submission_type", "created_at"), "submission_id"
     ).select(

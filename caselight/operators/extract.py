@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 from caselight.functions.presence import long_enough, strip
-from caselight.functions.quality import is_binary_junk
+from caselight.functions.quality import checked_quality, clean_text, is_binary_junk, text_confidence
 from caselight.functions.sql import SPACE as _SPACE, regex as _rx, strip as _strip
 from caselight.functions.text import code_to_bool, normalize_gender
 from caselight.schemas import (
@@ -276,22 +276,35 @@ def parse_cases(df: DataFrame, text: str = "text", min_fields: int = 8) -> DataF
 
 
 def first_usable_text(df: DataFrame, key: str = "doc_id", rank: str = "method_rank", text: str = "text", min_chars: int = MIN_TEXT_CHARS) -> DataFrame:
-    """Per document the text of the best-ranked method that gave enough characters."""
-    usable = df.filter(long_enough(F.col(text), min_chars))
-    others = [c for c in df.columns if c not in (key, rank)]
-    best = usable.groupBy(key).agg(
-        F.min_by(F.struct(rank, *others), F.col(rank)).alias("best")
+    """Per document the text of the best-ranked method that gave enough characters, with ``status`` and ``reason``.
+
+    A document none of whose texts was usable stays, without a text and with the failure status. One aggregation finds both.
+    """
+    others = [c for c in df.columns if c != key]
+    best = F.min_by(F.struct(*others), F.when(long_enough(F.col(text), min_chars), F.col(rank))).alias("best")
+    failed = F.col("best").isNull()
+    return df.groupBy(key).agg(best).select(
+        key, *[F.col(f"best.{c}").alias(c) for c in others],
+        F.when(failed, "EXTRACTION_FAILED").otherwise("SUCCESS").alias("status"),
+        F.when(failed, "Could not extract readable text from PDF").alias("reason"),
     )
-    return best.select(key, "best.*")
 
 
-def rejected_documents(df: DataFrame, accepted: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Documents none of whose texts was usable, with the failure status."""
-    return (
-        df.select(key).distinct().join(accepted.select(key), key, "left_anti")
-        .withColumn("status", F.lit("EXTRACTION_FAILED"))
-        .withColumn("reason", F.lit("Could not extract readable text from PDF"))
-    )
+def checked_extraction(df: DataFrame, key: str = "doc_id", rank: str = "method_rank", text: str = "text", quality: str = "quality") -> DataFrame:
+    """One row per document: the first usable text, cleaned, rated and blanked when its quality is low.
+
+    ``df`` has a row per document and method, with ``quality`` as the method rates itself. The best text is cleaned, the cleaned text's
+    length may lower the rating, and a text of low quality is withheld with an error. The first method, which states no confidence, gets
+    the text's own. A document without usable text stays, with an error.
+    """
+    usable = long_enough(F.col(text), MIN_TEXT_CHARS)
+    best = F.min_by(F.struct(rank, text, quality), F.when(usable, F.col(rank))).alias("_b")
+    found = df.groupBy(key).agg(best).select(key, F.col(f"_b.{rank}").alias(rank), clean_text(F.col(f"_b.{text}")).alias("_clean"), F.col(f"_b.{quality}").alias("_q"))
+    rated = found.withColumn("quality", F.when(F.col(rank).isNull(), "low").otherwise(checked_quality(F.col("_clean"), F.col("_q"))))
+    low = F.col("quality") == "low"
+    error = F.when(F.col(rank).isNull(), "No text extracted from document").when(low, "Extraction quality too low - document may be corrupted or unreadable")
+    confidence = F.when(F.col(rank) == 1, text_confidence(F.col("_clean"))).otherwise(F.lit(0.0))
+    return rated.select(key, rank, "quality", confidence.alias("confidence"), error.alias("error"), F.when(low, "").otherwise(F.col("_clean")).alias(text))
 
 
 def roll_up_pages(df: DataFrame, key: str = "doc_id", page: str = "page_no", text: str = "text", ocr: str | None = None) -> DataFrame:

@@ -6,8 +6,8 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from caselight.operators.relations import cascade_delete, within_retention
-from caselight.schemas import CITY_REGIONS, HOSPITAL_TIERS, K_ANONYMITY_THRESHOLD, RETENTION_DAYS
+from caselight.operators.relations import cascade_delete
+from caselight.schemas import CITY_REGIONS, HOSPITAL_TIERS, K_ANONYMITY_THRESHOLD
 
 # Forms of personal data, in masking order.
 PII_PATTERNS = {
@@ -48,21 +48,31 @@ def mask_pii(text: Column, kinds: list[str] | None = None) -> Column:
 
 
 def pseudonymize(text: Column, kinds: list[str] | None = None) -> Column:
-    """Replace each distinct value by a numbered tag such as ``[EMAIL_1]``, in order of appearance.
+    """Replace each hit by a numbered tag such as ``[EMAIL_1]``; equal values share a number, in order of appearance.
 
-    Numbering is per text and row-local: the distinct values are folded over the text, longer
-    values first where one contains another.
+    Numbering is per text and row-local. A hit is replaced where it stands: the text is split at the hits, and what
+    lies between them, earlier tags included, stays as it is. Where a pattern has a group, only the group is
+    replaced, which ends the hit.
     """
     def numbered(out: Column, kind: str) -> Column:
-        values = F.array_distinct(_matches(out, kind))
-        by_size = F.array_sort(
-            F.transform(values, lambda v, i: F.struct((-F.length(v)).alias("size"), i.alias("i"), v.alias("v")))
-        )
+        whole = F.regexp_extract_all(out, F.lit(PII_PATTERNS[kind]), F.lit(0))
+        return F.when(F.size(whole) > 0, tagged(out, kind, whole)).otherwise(out)
 
-        def tag(acc: Column, s: Column) -> Column:
-            return F.replace(acc, s["v"], F.concat(F.lit(f"[{kind}_"), (s["i"] + 1).cast("string"), F.lit("]")))
+    def tagged(out: Column, kind: str, whole: Column) -> Column:
+        values = _matches(out, kind)
+        hits = F.arrays_zip(F.split(out, PII_PATTERNS[kind], -1).alias("gap"), whole.alias("whole"), values.alias("value"))
 
-        return F.aggregate(by_size, out, tag)
+        def piece(bound: Column) -> Column:
+            return F.transform(bound["hits"], lambda s: F.concat(
+                s["gap"],
+                F.when(s["whole"].isNotNull(), F.concat(
+                    F.lit("") if kind not in GROUPED else F.substring(s["whole"], F.lit(1), F.length(s["whole"]) - F.length(s["value"])),
+                    F.lit(f"[{kind}_"), F.array_position(bound["distinct"], s["value"]).cast("string"), F.lit("]"),
+                )).otherwise(F.lit("")),
+            ))
+
+        bound = F.array(F.struct(hits.alias("hits"), F.array_distinct(values).alias("distinct")))
+        return F.array_join(F.get(F.transform(bound, piece), 0), "")
 
     # One kind after the other; a one-element array holds each intermediate text, computed once.
     step = F.array(text)
@@ -213,7 +223,3 @@ def purge_tokens(tokens: DataFrame, deleted: DataFrame, reason: str, at: dt.date
 def erase(tables: dict[str, DataFrame], deleted: DataFrame, key: str = "submission_id") -> dict[str, DataFrame]:
     """Every child table without the rows of the erased submissions."""
     return {name: cascade_delete(df, deleted, key) for name, df in tables.items()}
-
-
-def expire(submissions: DataFrame, as_of: dt.datetime, days: int = RETENTION_DAYS) -> DataFrame:
-    return within_retention(submissions, as_of, days)

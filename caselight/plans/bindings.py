@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caselight.sources.documents import spread
 from caselight.streaming.intake import table_stream
 
 TABLES = [
@@ -18,14 +17,25 @@ TABLES = [
 ]
 
 
+PARTS = "spark.caselight.tables.parts"
+
+
 def _pick(values: str, index: str) -> str:
     n = values.count(",") + 1
     return f"split_part('{values}', ',', CAST(({index}) % {n} AS INT) + 1)"
 
 
 _EVENTS = "Headache,Nausea,Severe rash,Dizziness,Hypotension,Neutropenia,Fever,Vomiting,Abdominal pain,Seizure,Anaemia"
-_FIRST = "Amit,Neha,Sanjay,Pooja,Rajesh,Shruti,Nikhil,Isha,Aditya,Kavita,Rohan,Meena,Vikram,Anjali,Suresh,Divya,Farhan"
-_LAST = "Yadavendra,Sharma,Patelnath,Kumaraswamy,Singhania,Khanolkar,Guptaji,Vermani,Reddypalli,Desaiwala,Nairobi,Iyerson,Mishrakoti,Chopraji,Bhattacharya,Saxenavar,Banerjeeson,Joshipura,Kulkarnikar"
+_SYL = "ba,ke,li,mo,nu,ra,se,ti,vo,zu,cha,dre,fli,gro,shu,pla,sten,trim,quor,wex"
+
+
+def _made(count: int, *steps: int) -> str:
+    """Invented names: name i joins every step-th syllable counted from i."""
+    syllables = _SYL.split(",")
+    return ",".join("".join(syllables[(i * s + s) % len(syllables)] for s in steps).capitalize() for i in range(count))
+
+
+_FIRST, _LAST = _made(17, 1, 7), _made(19, 3, 11, 9)
 _ISO = "CAST(CAST({d} AS DATE) + CAST({n} AS INT) AS STRING)"
 
 
@@ -78,7 +88,7 @@ SELECT CAST(event_id AS STRING) AS id,
   CASE WHEN value > 120 THEN 'Naranjo Causality Scoring' WHEN event_type = 'view' THEN 'Duplicate Detection'
        WHEN event_type = 'click' THEN 'Consistency Check' WHEN event_type = 'signup' THEN 'ADR Validation'
        WHEN event_type = 'purchase' THEN 'Form 44 Validation' ELSE 'MD-14 Validation' END AS check_type,
-  CASE WHEN event_id % 41 = 0 THEN 'raw text' WHEN event_id % 43 = 0 THEN NULL
+  CASE WHEN event_id % 41 = 0 THEN 'raw text' WHEN event_id % 43 = 0 THEN NULL WHEN event_id % 47 = 0 THEN '{{"severity": "Mi'
        ELSE concat('{{"completeness": ', CASE WHEN event_id % 4 = 0 THEN '83.3' WHEN event_id % 4 = 1 THEN '100.0' WHEN event_id % 4 = 2 THEN '66.7' ELSE '0' END,
          CASE WHEN event_id % 3 = 0 THEN ', "critical_issues": ["Mandatory field missing: drug_name", "patient_age must be a number"]'
               WHEN event_id % 3 = 1 THEN ', "critical_issues": ["Mandatory field missing: report_date"]' ELSE '' END,
@@ -110,8 +120,8 @@ VIEWS["anonymized"] = (
     """
 SELECT concat('n', CAST(o_orderkey AS STRING)) AS id, CAST(o_orderkey AS STRING) AS submission_id,
   CASE WHEN o_custkey % 6 = 0 THEN 'FAIL' ELSE 'PASS' END AS k_anonymity_status,
-  CAST(o_custkey % 101 AS DOUBLE) AS compliance_score
-FROM {orders} WHERE o_orderpriority <> '5-LOW'""",
+  CASE WHEN o_orderpriority <> '5-LOW' THEN CAST(o_custkey % 101 AS DOUBLE) END AS compliance_score
+FROM {orders}""",
 )
 
 VIEWS["compliance"] = (
@@ -121,8 +131,8 @@ SELECT concat('c', CAST(o_orderkey AS STRING)) AS id, CAST(o_orderkey AS STRING)
   CAST(o_custkey % 101 AS DOUBLE) AS dpdp_score, CAST(o_custkey % 97 AS DOUBLE) AS ndhm_score,
   CAST(o_orderkey % 89 AS DOUBLE) AS icmr_score, CAST(o_orderkey % 83 AS DOUBLE) AS cdsco_score,
   CAST((o_custkey + o_orderkey) % 101 AS DOUBLE) AS overall_compliance_score,
-  CASE WHEN o_custkey % 101 < 40 THEN 'HIGH' ELSE 'LOW' END AS risk_level
-FROM {orders} WHERE o_orderstatus <> 'P'""",
+  CASE WHEN o_orderstatus = 'P' THEN NULL WHEN o_custkey % 101 < 40 THEN 'HIGH' ELSE 'LOW' END AS risk_level
+FROM {orders}""",
 )
 
 VIEWS["sae_cases"] = (
@@ -326,9 +336,6 @@ SELECT p_partkey AS pos,
 FROM {part}""",
 )
 
-_SYL = "ba,ke,li,mo,nu,ra,se,ti,vo,zu,cha,dre,fli,gro,shu,pla,sten,trim,quor,wex"
-
-
 def _name(k: str) -> str:
     parts = ", ".join(_pick(_SYL, f"CAST(floor({k} / {20 ** i}) AS BIGINT)") for i in range(4))
     return f"concat({parts})"
@@ -394,15 +401,15 @@ VIEWS["text_candidates"] = (
     ["documents"],
     """
 SELECT doc_id, 1 AS method_rank, CASE WHEN doc_id % 3 = 0 THEN '' ELSE text END AS text FROM {documents}
-UNION ALL SELECT doc_id, 2 AS method_rank, CASE WHEN doc_id % 4 = 0 THEN substr(text, 1, 60) ELSE text END AS text FROM {documents}
-UNION ALL SELECT doc_id, 3 AS method_rank, CASE WHEN doc_id % 6 = 0 THEN 'x' ELSE text END AS text FROM {documents}""",
+UNION ALL SELECT doc_id, 2 AS method_rank, CASE WHEN doc_id % 4 = 0 THEN concat('page ', source) ELSE text END AS text FROM {documents}
+UNION ALL SELECT doc_id, 3 AS method_rank, CASE WHEN doc_id % 6 = 0 THEN '  ' ELSE text END AS text FROM {documents}""",
 )
 
 VIEWS["doc_pages"] = (
     ["conversations"],
     """
 SELECT CAST(conv_id AS STRING) AS doc_id, turn AS page_no,
-  CASE WHEN conv_id % 4 = 0 AND turn % 2 = 1 THEN substr(text, 1, 5) WHEN conv_id % 9 = 0 AND turn % 3 = 0 THEN concat('%PDF-1.4 ', text) ELSE text END AS text,
+  CASE WHEN conv_id % 4 = 0 AND turn % 2 = 1 THEN '  -  ' WHEN conv_id % 9 = 0 AND turn % 3 = 0 THEN concat('%PDF-1.4 ', text) ELSE text END AS text,
   CAST((conv_id * 7 + turn * 13) % 100 - 5 AS DOUBLE) AS ocr_confidence
 FROM {conversations}""",
 )
@@ -433,14 +440,22 @@ class Tables:
         """The table as a stream of its files."""
         return table_stream(self.spark, self.folder, f"{name}.parquet", self.table(name).schema)
 
+    def dealt(self, name: str) -> DataFrame:
+        """A table for costly row-local work, dealt to as many parts as the session's ``PARTS`` setting names, if it names any.
+
+        The shared tables are single files that Spark cannot split; a table of many files needs no setting.
+        """
+        df, parts = self.table(name), self.spark.conf.get(PARTS, None)
+        return df.repartition(int(parts)) if parts else df
+
     def view(self, name: str, wide: bool = False, streaming: bool = False) -> DataFrame:
-        """A view; ``wide`` spreads its first table over all cores, ``streaming`` reads it as a stream."""
+        """A view; ``wide`` deals its first table, ``streaming`` reads it as a stream."""
         tables, text = VIEWS[name]
         frames = {t: self.table(t) for t in tables}
         if streaming:
             frames[tables[0]] = self.stream(tables[0])
         elif wide:
-            frames[tables[0]] = spread(frames[tables[0]])
+            frames[tables[0]] = self.dealt(tables[0])
         return self.spark.sql(text, **frames)
 
 

@@ -529,11 +529,32 @@ SELECT *, CASE WHEN total_score >= 9 THEN 'Probable' WHEN total_score >= 5 THEN
   'Total Score: ' || total_score || '/13' AS total_line FROM t"""
 
 
-@add("n1_score_narratives", ["narratives"], _SCORED)
+_STOPPED, _RESTARTED = _W["stopped_drug"], _W["restarted_drug"]
+_REASONS = [  # of each factor the tests with their texts, then the text when none holds
+    ("1. Temporal relationship: ", [("temporal_relationship = 2", "Strong temporal relationship (onset 2-4 days post-dose): +2"),
+        (f"{_rx('(5|6|7|8|9|10|14|21|30)' + chr(92) + 's+(days?|weeks?)')} OR {_W['onset_5_30days']}", "Reasonable temporal relationship (onset 5-30 days post-dose): +1"),
+        (_W["onset_immediate"], "Immediate onset suggests strong relationship: +1")], "Temporal relationship: uncertain"),
+    ("2. Dose-response: ", [("dose_response = 1", "Dose-response relationship evident: +1")], "No clear dose-response relationship: 0"),
+    ("3. Prior knowledge: ", [("prior_knowledge = 1", "Known adverse reaction with this drug or similar drugs: +1")], "No prior knowledge of this reaction: 0"),
+    ("4. De-challenge (stopped drug): ", [("de_challenge = 2", "Event resolved after drug cessation: +2"), (_STOPPED, "Drug stopped but unclear if resolved: +1")], "No de-challenge data: 0"),
+    ("5. Re-challenge: ", [("re_challenge = 2", "Event recurred on re-exposure (strongest evidence): +2"), (_RESTARTED, "Drug re-exposed but unclear if recurred: +1")], "No re-challenge data: 0"),
+    ("6. Alternative causes: ", [("alternative_causes = -1", "Alternative cause identified (reduces causality): -1"),
+        (_rx("no.*alternative|no significant.*cause|clear drug|temporal relationship"), "No significant alternative cause identified: 0")], "Alternative cause assessment unclear: 0"),
+    ("7. Adverse history: ", [("adverse_history = 1", "History of similar adverse reactions: +1")], "No significant prior adverse history: 0"),
+    ("8. Body fluid test: ", [("body_fluid_test = 1", "Drug or metabolite detected in body fluids: +1")], "No body fluid testing mentioned: 0"),
+    ("9. Extended temporal (>3mo): ", [("temporal_extended = -1", "Temporal relationship >3 months (negative factor): -1")], "Temporal relationship within 3 months: 0"),
+]
+_REASONING = " || chr(10) || ".join(
+    f"'{head}' || CASE " + " ".join(f"WHEN {test} THEN '{text}'" for test, text in tests) + f" ELSE '{default}' END" for head, tests, default in _REASONS
+)
+
+
+@add("n1_score_narratives", ["narratives"], f"""
+SELECT r.* EXCLUDE (n, total_line), md5({_REASONING} || chr(10) || chr(10) || '**' || total_line || '**' || chr(10) || '**Probability: ' || probability || '**') AS reasoning_md5
+FROM (SELECT z.*, l.n FROM ({_SCORED}) z JOIN (SELECT id, lower(narrative) AS n FROM narratives) l USING (id)) r""")
 def _(t):
     out = N.score_narratives(t.view("narratives", wide=True))
-    line = F.regexp_extract("reasoning", r"\*\*(Total Score: \d+/13)\*\*", 1)
-    return out.withColumn("total_line", line).drop("narrative", "reasoning", "previous_literature")
+    return out.withColumn("reasoning_md5", F.md5("reasoning")).drop("narrative", "reasoning", "previous_literature")
 
 
 @add("n2_score_factors", ["factors"], """
@@ -559,11 +580,12 @@ def _(t):
 
 @add("n4_evidence_quotes", ["sae_cases"], """
 SELECT id, CASE WHEN naranjo_score >= 9 THEN 4 ELSE 3 END AS quotes, CASE WHEN naranjo_score >= 9 THEN 5 ELSE 4 END AS contribution,
-  'MedDRA database confirms ' || event_term || ' as documented adverse reaction for drug class. Similar pattern reported in published literature.' AS literature FROM sae_cases""")
+  'MedDRA database confirms ' || event_term || ' as documented adverse reaction for drug class. Similar pattern reported in published literature.' AS literature,
+  'Temporal relation to administration|Effect of dechallenge|From the literature' || CASE WHEN naranjo_score >= 9 THEN '|Temporal relation concordance' ELSE '' END AS criteria FROM sae_cases""")
 def _(t):
     out = t.view("sae_cases").withColumn("q", N.evidence_quotes(F.col("event_term"), F.col("naranjo_score")))
     total = F.aggregate("q", F.lit(0), lambda acc, q: acc + q["score_contribution"])
-    return out.select("id", F.size("q").alias("quotes"), total.alias("contribution"), F.get("q", 2)["quote"].alias("literature"))
+    return out.select("id", F.size("q").alias("quotes"), total.alias("contribution"), F.get("q", 2)["quote"].alias("literature"), F.array_join(F.transform("q", lambda q: q["criterion"]), "|").alias("criteria"))
 
 
 @add("n5_default_score", ["adr_forms"], "SELECT id, CASE WHEN adverse_reaction IS NOT NULL OR drug_name IS NOT NULL THEN 7 ELSE -1 END AS score FROM adr_forms")

@@ -100,7 +100,7 @@ def _(t):
 
 def _result_dist(name: str) -> str:
     return f"""SELECT coalesce({member(name)}, 'Unknown') AS value, count(*) AS n FROM results
-WHERE json_valid(result) AND result LIKE '{{%' GROUP BY 1"""
+WHERE CASE WHEN json_valid(result) THEN json_type(result) = 'OBJECT' END GROUP BY 1"""
 
 
 @add("a5_result_severity", ["results"], _result_dist("severity"))
@@ -363,6 +363,13 @@ def _(t):
     return R.combine_checks(t.view("results").select("submission_id", "check_type", "status"), more)
 
 
+@add("u4_issue_lists", ["results"], f"""
+SELECT id, array_to_string(list_concat({_ISSUES}, CASE WHEN json_valid(result) THEN json_extract_string(result, '$.missing_fields[*]') ELSE [] END), '|') AS issues FROM results""")
+def _(t):
+    lists = {c: F.from_json(F.get_json_object("result", f"$.{c}"), "array<string>") for c in ("critical_issues", "missing_fields")}
+    return t.view("results").withColumns(lists).select("id", F.array_join(R.concat_issues(*lists), "|").alias("issues"))
+
+
 @add("u3_distinct_drugs", ["submissions"], "SELECT DISTINCT drug_name FROM submissions WHERE drug_name IS NOT NULL")
 def _(t):
     return R.distinct_values(t.view("submissions"), "drug_name")
@@ -419,11 +426,15 @@ def _(t):
 
 
 @add("s4_line_listing_texts", ["text_candidates"], """
-SELECT doc_id, min(method_rank) AS method_rank FROM text_candidates
-WHERE (method_rank = 3 AND doc_id % 2 = 0 AND length(trim(text)) >= 1) OR (method_rank < 3 AND length(trim(text)) >= 100) GROUP BY 1""")
+WITH ok AS (SELECT doc_id, min(method_rank) AS method_rank, arg_min(md5(text), method_rank) AS text_md5 FROM text_candidates
+  WHERE (method_rank = 3 AND doc_id % 2 = 0 AND length(trim(text)) >= 1) OR (method_rank < 3 AND length(trim(text)) >= 100) GROUP BY 1)
+SELECT d.doc_id, coalesce(method_rank, 0) AS method_rank, coalesce(text_md5, '') AS text_md5, CASE WHEN method_rank IS NULL THEN 'WARNING' ELSE 'SUCCESS' END AS status
+FROM (SELECT DISTINCT doc_id FROM text_candidates) d LEFT JOIN ok USING (doc_id)""")
 def _(t):
     marked = t.view("text_candidates").withColumn("is_txt", F.col("doc_id") % 2 == 0)
-    return documents.line_listing_texts(marked).select("doc_id", "method_rank")
+    return documents.line_listing_texts(marked).select(
+        "doc_id", F.coalesce("method_rank", F.lit(0)).alias("method_rank"), F.coalesce(F.md5("text"), F.lit("")).alias("text_md5"), "status"
+    )
 
 
 @add("s5_json_records", [], """
@@ -441,6 +452,12 @@ def _(t):
     return rows.select("id", F.posexplode(body).alias("pos", "issue"))
 
 
+@add("s6_stored_table", [], "SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")
+def _(t):
+    stored = documents.table(t.spark, f"{t.folder}/orders.parquet")
+    return stored.groupBy(F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @add("s7_result_rows", ["submissions"], """
 SELECT id AS submission_id, 'Status Check' AS check_type, CASE WHEN status = 'failed' THEN 'FAIL' ELSE 'PASS' END AS status,
   '{"severity":"' || coalesce(severity, 'none') || '","drug_name":"' || drug_name || '"}' AS result FROM submissions""")
@@ -466,8 +483,8 @@ _NEW = "CASE WHEN o_orderkey % 5 = 0 THEN 'approved' ELSE o_orderstatus END"
 
 
 @add("s9_snapshot_changes", [], f"""
-WITH old AS (SELECT o_orderkey::VARCHAR AS id, o_orderstatus AS status, o_custkey AS owner FROM orders WHERE o_orderkey % 7 <> 0),
-new AS (SELECT o_orderkey::VARCHAR AS id, {_NEW} AS status, o_custkey AS owner FROM orders WHERE o_orderkey % 11 <> 0)
+WITH old AS (SELECT o_orderkey::VARCHAR AS id, o_orderstatus AS status, o_custkey AS owner FROM orders),
+new AS (SELECT CASE WHEN o_orderkey % 11 = 0 THEN 'new-' ELSE '' END || o_orderkey::VARCHAR AS id, {_NEW} AS status, o_custkey AS owner FROM orders)
 SELECT CASE WHEN o.id IS NULL THEN 'INSERT' WHEN n.id IS NULL THEN 'DELETE' ELSE 'UPDATE' END AS action, 'submissions' AS entity_type,
   coalesce(o.id, n.id) AS entity_id,
   '{{"id":"' || o.id || '","status":"' || o.status || '","owner":' || o.owner || '}}' AS old_data,
@@ -476,8 +493,9 @@ FROM old o FULL JOIN new n ON o.id = n.id WHERE o.id IS NULL OR n.id IS NULL OR
 def _(t):
     key = F.col("o_orderkey")
     base = t.table("orders").select(key, key.cast("string").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("owner"))
-    old = base.filter(key % 7 != 0).select("id", "status", "owner")
-    new = base.filter(key % 11 != 0).select("id", F.when(key % 5 == 0, "approved").otherwise(F.col("status")).alias("status"), "owner")
+    old = base.select("id", "status", "owner")
+    renamed = F.concat(F.when(key % 11 == 0, "new-").otherwise(""), "id").alias("id")  # a renamed key is deleted and inserted
+    new = base.select(renamed, F.when(key % 5 == 0, "approved").otherwise(F.col("status")).alias("status"), "owner")
     return changes.snapshot_changes(old, new, "submissions", AS_OF).drop("changed_at")
 
 

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from caselight.operators import analytics as A
+from caselight.operators import duplicates as D
 from caselight.operators import privacy as Y
 from caselight.operators import relations as R
 from caselight.operators import reports as T
@@ -19,11 +20,11 @@ from caselight.plans.catalog_clean import _flat_reports, adr_sql, ambiguous_sql,
 from caselight.plans.catalog_core import _ISSUES, _ROLLUP, member
 from caselight.plans.catalog_text import _report_column
 from caselight.plans.registry import CATALOG
-from caselight.schemas import DATE_FIELDS, FRAMEWORK_NAMES, REPORT_FIELDS, TEXT_FIELDS
-from caselight.sources.documents import spread
-from caselight.sources.staging import stage
+from caselight.schemas import DATE_FIELDS, FRAMEWORK_NAMES, PROCESSING_STAGES, REPORT_FIELDS, TEXT_FIELDS
+from caselight.sources import changes
+from caselight.sources.staging import new_folder, stage
 from caselight.streaming import state
-from caselight.streaming.sinks import drain
+from caselight.streaming.sinks import drain, finish
 
 add = CATALOG.add
 AS_OF = dt.date(2026, 6, 30)
@@ -107,14 +108,12 @@ summary AS (
 
 @add("r3_summary_lines", ["submissions", "results"], f"WITH {_SUMMARY} SELECT id, part, pos, line FROM summary")
 def _(t):
-    subs = t.view("submissions").withColumn("status", F.coalesce("status", F.lit("")))
-    return T.summary_lines(subs, t.view("results"))
+    return T.summary_lines(t.view("submissions"), t.view("results"))
 
 
 @add("r3_summary_text", ["submissions", "results"], f"WITH {_SUMMARY} SELECT id, md5(string_agg(line, chr(10) ORDER BY part, pos, line)) AS text_md5 FROM summary GROUP BY id")
 def _(t):
-    subs = t.view("submissions").withColumn("status", F.coalesce("status", F.lit("")))
-    text = T.lines_to_text(T.summary_lines(subs, t.view("results")), ["part", "pos"])
+    text = T.lines_to_text(T.summary_lines(t.view("submissions"), t.view("results")), ["part", "pos"])
     return text.select("id", F.md5("text").alias("text_md5"))
 
 
@@ -133,7 +132,7 @@ LEFT JOIN {_agg("line", "part, pos, line", "recs")} a ON r.id = a.id LEFT JOIN {
 def _(t):
     subs, results = t.view("submissions"), t.view("results")
     found = T.findings(subs, results)
-    summary = T.lines_to_text(T.summary_lines(subs.withColumn("status", F.coalesce("status", F.lit(""))), results), ["part", "pos"])
+    summary = T.lines_to_text(T.summary_lines(subs, results), ["part", "pos"])
     doc = T.results_document(A.results_rollup(subs, results), T.key_findings(found), found, T.recommendations(subs, results), summary)
     return doc.select("id", F.md5("text").alias("text_md5"))
 
@@ -171,17 +170,20 @@ batches AS (SELECT doc_id AS id, count(*) AS total, count(*) FILTER (valid) / co
 cleaned AS (SELECT p.id, b.id IS NOT NULL AS is_batch, coalesce(b.ok, FALSE) AS batch_ok, {", ".join(_cleaned_column(n) for n in REPORT_FIELDS if n != "reporter_name")},
   CASE WHEN NOT ({_ANY}) THEN NULL WHEN {_REPORTER} = '' OR upper({_REPORTER}) = 'MISSING' THEN CASE WHEN b.id IS NOT NULL THEN 'Batch Submission - Auto-reported' ELSE 'Auto-reported (Extracted)' END ELSE {_REPORTER} END AS reporter_name
   FROM parsed p LEFT JOIN batches b ON p.id = b.id),
-dups AS (SELECT id, n FROM (SELECT o_orderkey::VARCHAR AS id, count(*) OVER (PARTITION BY o_custkey, o_orderdate) - 1 AS n FROM orders) WHERE n > 0),
+days AS (SELECT id, coalesce(created_date, '') AS d, {CC.normal_text_sql("applicant_name")} AS a, pos FROM filings),
+dups AS (SELECT id, n FROM (SELECT id, (lag(id) OVER w IS NOT NULL)::INT + (lead(id) OVER w IS NOT NULL)::INT AS n FROM days WINDOW w AS (PARTITION BY d, a ORDER BY pos)) WHERE n > 0),
 adr AS ({adr_sql("cleaned")}),
 typed AS (SELECT c.*, ({_ANY}) AS has_form, (coalesce(patient_age <> '', FALSE)::INT + coalesce(adverse_reaction <> '', FALSE)::INT + coalesce(onset_date <> '', FALSE)::INT + coalesce(patient_gender <> '', FALSE)::INT) >= 2 AS is_adr,
   coalesce(d.n, 0) AS dups, a.overall_status AS adr_status, a.completeness_score,
   CASE WHEN patient_age IS NOT NULL AND {CC._A} IS NULL THEN 1 WHEN {CC._A} > 150 THEN 1 ELSE 0 END + CASE WHEN patient_gender NOT IN ('M', 'F', 'Male', 'Female', 'Other', 'Not specified') THEN 1 ELSE 0 END AS highs
   FROM cleaned c LEFT JOIN dups d ON c.id = d.id JOIN adr a ON a.id = c.id),
-checks AS (SELECT id, 0 AS pos, 'Duplicate Detection' AS check_type, CASE WHEN has_form AND dups > 0 THEN 'FAIL' ELSE 'PASS' END AS status FROM typed
-  UNION ALL SELECT id, 1, 'Consistency Check', CASE WHEN has_form AND highs > 0 THEN 'NEEDS_REVIEW' ELSE 'PASS' END FROM typed
-  UNION ALL SELECT id, 2, CASE WHEN is_adr THEN 'ADR Validation' ELSE 'Form 44 Validation' END, CASE WHEN is_adr THEN adr_status ELSE 'FAIL' END FROM typed WHERE has_form
-  UNION ALL SELECT id, 2 + has_form::INT, 'MD-14 Validation', CASE WHEN is_batch THEN CASE WHEN batch_ok THEN 'PASS' ELSE 'FAIL' END ELSE 'SKIPPED' END FROM typed
-  UNION ALL SELECT id, 3 + has_form::INT, 'Naranjo Causality Scoring', 'PASS' FROM typed)"""
+checks AS (SELECT id, 0 AS pos, 'Duplicate Detection' AS check_type, CASE WHEN has_form AND dups > 0 THEN 'FAIL' ELSE 'PASS' END AS status,
+    CASE WHEN has_form THEN '{{"duplicates_found":' || dups || '}}' ELSE '{{"reason":"No form data available"}}' END AS result FROM typed
+  UNION ALL SELECT id, 1, 'Consistency Check', CASE WHEN has_form AND highs > 0 THEN 'NEEDS_REVIEW' ELSE 'PASS' END, CASE WHEN has_form THEN '{{"critical_issues":[]}}' ELSE '{{"reason":"No form data available"}}' END FROM typed
+  UNION ALL SELECT id, 2, CASE WHEN is_adr THEN 'ADR Validation' ELSE 'Form 44 Validation' END, CASE WHEN is_adr THEN adr_status ELSE 'FAIL' END, NULL FROM typed WHERE has_form
+  UNION ALL SELECT id, 2 + has_form::INT, 'MD-14 Validation', CASE WHEN is_batch THEN CASE WHEN batch_ok THEN 'PASS' ELSE 'FAIL' END ELSE 'SKIPPED' END,
+    CASE WHEN NOT is_batch THEN '{{"reason":"Form 44 (ADR) submission - MD-14 validation not applicable"}}' END FROM typed
+  UNION ALL SELECT id, 3 + has_form::INT, 'Naranjo Causality Scoring', 'PASS', CASE WHEN adverse_reaction IS NOT NULL OR drug_name IS NOT NULL THEN '{{"causality_score":7}}' ELSE '{{"reason":"Insufficient data for scoring"}}' END FROM typed)"""
 
 
 def _reviewed(t):
@@ -189,18 +191,17 @@ def _reviewed(t):
     # The parse is the costly step and the review reads its fields many times.
     forms = stage(parse_reports(reports).drop("text"))
     cases = t.view("cases").withColumnRenamed("doc_id", "id")
-    orders = t.table("orders").select(F.col("o_orderkey").cast("string").alias("id"), "o_custkey", "o_orderdate")
-    sizes = orders.groupBy("o_custkey", "o_orderdate").agg((F.count(F.lit(1)) - 1).alias("duplicates_found"))
-    flagged = orders.join(sizes.filter(F.col("duplicates_found") > 0), ["o_custkey", "o_orderdate"]).select("id", "duplicates_found")
-    return T.review_submissions(forms, AS_OF, cases, flagged)
+    return T.review_submissions(forms, AS_OF, cases, D.flagged_submissions(t.view("filings")))
 
 
-@add("r5_review_checks", ["reports", "cases"], f"WITH {_REVIEW} SELECT id AS submission_id, pos, check_type, status FROM checks")
+@add("r5_review_checks", ["reports", "cases", "filings"], f"WITH {_REVIEW} SELECT id AS submission_id, pos, check_type, status, coalesce(result, '') AS result FROM checks")
 def _(t):
-    return T.review_results(_reviewed(t)).drop("result")
+    # payloads with fields of a form or a batch are compared by the queries of those checks
+    own = ~F.col("check_type").isin("ADR Validation", "Form 44 Validation") & ~((F.col("check_type") == "MD-14 Validation") & (F.col("status") != "SKIPPED"))
+    return T.review_results(_reviewed(t)).withColumn("result", F.when(own, F.col("result")).otherwise(""))
 
 
-@add("r5_review_submissions", ["reports", "cases"], f"""
+@add("r5_review_submissions", ["reports", "cases", "filings"], f"""
 WITH {_REVIEW}, agg AS (SELECT id, count(*) FILTER (status = 'PASS') AS passed_checks, count(*) FILTER (status = 'FAIL') AS failed_checks, count(*) FILTER (status = 'SKIPPED') AS skipped_checks FROM checks GROUP BY 1)
 SELECT t.id, CASE WHEN is_adr THEN 'ADR' ELSE 'unknown' END AS form_type, coalesce(severity, 'Unknown') AS severity, coalesce(outcome, 'Unknown') AS outcome, coalesce(adverse_reaction, '') AS adverse_event,
   coalesce(drug_name, '') AS drug_name, passed_checks, failed_checks, skipped_checks, CASE WHEN failed_checks > 0 THEN 'FAIL' ELSE 'PASS' END AS overall_status,
@@ -236,7 +237,7 @@ _COUNTS = ", ".join(f"len(regexp_extract_all(text, '{p}')) AS n_{k.lower()}" for
 @add("y1_count_pii", [], f"""
 SELECT *, {" + ".join(f"n_{k.lower()}" for k in PII_PATTERNS)} AS n_pii FROM (SELECT doc_id, {_COUNTS} FROM documents)""")
 def _(t):
-    out = Y.count_pii(spread(t.table("documents")).select("doc_id", "text")).drop("text")
+    out = Y.count_pii(t.dealt("documents").select("doc_id", "text")).drop("text")
     return out.select("doc_id", *[F.col(c).cast("bigint").alias(c) for c in out.columns if c != "doc_id"])
 
 
@@ -257,7 +258,7 @@ _CLEAR = " AND ".join(f"NOT regexp_matches(m, '{p}')" for k, p in PII_PATTERNS.i
 
 @add("y2_mask_documents", [], f"SELECT doc_id, md5(m) AS text_md5, {_CLEAR} AS safe FROM (SELECT doc_id, {_mask_sql('text')} AS m FROM documents)")
 def _(t):
-    out = Y.anonymize(spread(t.table("documents")).select("doc_id", "text"))
+    out = Y.anonymize(t.dealt("documents").select("doc_id", "text"))
     return out.select("doc_id", F.md5("anonymized").alias("text_md5"), F.col("safe_for_regulatory_review").alias("safe"))
 
 
@@ -265,20 +266,25 @@ def _numbered_ctes(source: str) -> tuple[str, str]:
     ctes, last = [], source
     for i, (kind, p) in enumerate(PII_PATTERNS.items()):
         group = 1 if kind in ("PERSON", "ADDRESS") else 0
-        ctes.append(f"""v{i} AS (SELECT doc_id, text, regexp_extract_all(text, '{p}', {group}) AS ms FROM {last}),
-d{i} AS (SELECT doc_id, text, list_sort(list_transform(list_filter(list_transform(ms, lambda x, j: {{'v': x, 'j': j, 'f': list_position(ms, x)}}), lambda s: s.j = s.f), lambda s: {{'size': -length(s.v), 'f': s.f, 'v': s.v}})) AS firsts, ms FROM v{i}),
-s{i} AS (SELECT doc_id, list_reduce(list_prepend(text, list_transform(firsts, lambda s: s.v || chr(1) || (len(list_distinct(ms[1:s.f])))::VARCHAR)),
-  lambda acc, x: replace(acc, split_part(x, chr(1), 1), '[{kind}_' || split_part(x, chr(1), 2) || ']')) AS text FROM d{i})""")
+        kept = "w[:length(w) - length(v)]" if group else "''"
+        ctes.append(f"""v{i} AS (SELECT doc_id, text, regexp_extract_all(text, '{p}') AS ws, regexp_extract_all(text, '{p}', {group}) AS vs FROM {last}),
+g{i} AS (SELECT *, string_split_regex(text, '{p}') AS gaps FROM v{i}),
+s{i} AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN text ELSE array_to_string(list_transform(gaps, lambda g, j: g || CASE WHEN j > len(ws) THEN '' ELSE
+  {kept.replace("w[:length(w) - length(v)]", "ws[j][:length(ws[j]) - length(vs[j])]")} || '[{kind}_' || len(list_distinct(vs[1:list_position(vs, vs[j])]))::VARCHAR || ']' END), '') END AS text FROM g{i})""")
         last = f"s{i}"
     return ", ".join(ctes), last
 
 
-_NUMBERED, _LAST_STEP = _numbered_ctes("documents")
+_NUMBERED, _LAST_STEP = _numbered_ctes("named")
 
 
-@add("y2_pseudonymize_documents", [], f"WITH {_NUMBERED} SELECT doc_id, md5(text) AS text_md5 FROM {_LAST_STEP}")
+_NAMED = "CASE WHEN doc_id % 9 = 0 THEN 'Name: A. Reporter Name: ' || upper(source) || chr(10) || 'All About ' || source || ' a@b.cc a@b.cc 1234 5678 9012 Address: ' ELSE '' END || text"
+
+
+@add("y2_pseudonymize_documents", [], f"WITH named AS (SELECT doc_id, {_NAMED} AS text FROM documents), {_NUMBERED} SELECT doc_id, md5(text) AS text_md5 FROM {_LAST_STEP}")
 def _(t):
-    return spread(t.table("documents")).select("doc_id", F.md5(Y.pseudonymize(F.col("text"))).alias("text_md5"))
+    named = t.dealt("documents").select("doc_id", F.expr(_NAMED.replace("chr(10)", "char(10)")).alias("text"))
+    return named.select("doc_id", F.md5(Y.pseudonymize(F.col("text"))).alias("text_md5"))
 
 
 @add("y2_mask_fields", ["patients"], """
@@ -388,38 +394,33 @@ def _(t):
 @add("st2_latest_status", [], "SELECT user_id AS id, arg_max(event_type, ts) AS status FROM events GROUP BY 1")
 def _(t):
     moves = t.stream("events").select(F.col("user_id").alias("id"), F.col("event_type").alias("status"), F.col("ts").cast("timestamp").alias("changed_at"))
-    seen = drain(t.spark, state.latest_status_stream(moves), "st2", mode="update")
-    return seen.groupBy("id").agg(F.max_by("status", "changed_at").alias("status"))
-
+    return drain(t.spark, state.latest_status_stream(moves), "st2", "update", ["id"]).select("id", "status")
 
-_CLOSED = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
 
-
-@add("st3_tumbling_counts", [], f"""
-SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2, time_bucket(INTERVAL 1 HOUR, ts)
-HAVING time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= {_CLOSED}""")
+@add("st3_tumbling_counts", [], """
+SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2, time_bucket(INTERVAL 1 HOUR, ts)""")
 def _(t):
     rows = t.stream("events").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = drain(t.spark, state.windowed_counts(rows, "ts", ["event_type"], "1 hour"), "st3")
+    out = drain(t.spark, state.windowed_counts(rows, "ts", ["event_type"], "1 hour"), "st3", "update", ["window_start", "window_end", "event_type"])
     return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "event_type", "n")
 
 
-@add("st3_sliding_counts", [], f"""
+@add("st3_sliding_counts", [], """
 SELECT strftime(w, '%Y-%m-%d %H:%M') AS window_start, count(*) AS n FROM (SELECT ts, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS w FROM events)
-GROUP BY w HAVING w + INTERVAL 1 HOUR <= {_CLOSED}""")
+GROUP BY w""")
 def _(t):
     rows = t.stream("events").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = drain(t.spark, state.windowed_counts(rows, "ts", [], "1 hour", "30 minutes"), "st3s")
+    out = drain(t.spark, state.windowed_counts(rows, "ts", [], "1 hour", "30 minutes"), "st3s", "update", ["window_start", "window_end"])
     return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "n")
 
 
-@add("st3_activity_sessions", ["audit"], f"""
+@add("st3_activity_sessions", ["audit"], """
 WITH s AS (SELECT user_id, timestamp, CASE WHEN timestamp - lag(timestamp) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM audit WINDOW w AS (PARTITION BY user_id ORDER BY timestamp)),
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY timestamp) AS grp FROM s)
-SELECT user_id, strftime(min(timestamp), '%Y-%m-%d %H:%M:%S') AS session_start, count(*) AS n FROM g GROUP BY user_id, grp HAVING max(timestamp) + INTERVAL 6 HOUR <= {_CLOSED}""")
+SELECT user_id, strftime(min(timestamp), '%Y-%m-%d %H:%M:%S') AS session_start, count(*) AS n FROM g GROUP BY user_id, grp""")
 def _(t):
     rows = t.view("audit", streaming=True).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
-    out = drain(t.spark, state.activity_sessions(rows, gap="6 hours"), "st3a")
+    out = drain(t.spark, state.activity_sessions(rows, gap="6 hours"), "st3a", "complete")
     return out.select("user_id", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("session_start"), "n")
 
 
@@ -436,13 +437,35 @@ WITH k AS (SELECT *, coalesce(created_date, '') AS d, """ + CC.normal_text_sql("
 n AS (SELECT *, lead(id) OVER w AS id_2, lead(drug_count) OVER w AS c_2 FROM k WINDOW w AS (PARTITION BY d, a ORDER BY pos))
 SELECT id AS submission_1_id, id_2 AS submission_2_id, d AS date, abs(drug_count - c_2)::BIGINT AS drug_count_diff FROM n WHERE id_2 IS NOT NULL""")
 def _(t):
-    out = state.same_day_pairs(t.view("filings", streaming=True))
-    return drain(t.spark, out, "st5").select("submission_1_id", "submission_2_id", "date", "drug_count_diff")
+    base = new_folder(t.spark, "st5")
+    finish(state.same_day_pairs(t.view("filings", streaming=True), base, f"{base}/state"))
+    return t.spark.read.parquet(f"{base}/pairs/batch=*").select("submission_1_id", "submission_2_id", "date", "drug_count_diff")
+
+
+_STAGE_RANK = "CASE " + " ".join(f"WHEN status = '{s}' THEN {i}" for i, s in enumerate(PROCESSING_STAGES)) + f" ELSE {len(PROCESSING_STAGES)} END"
+
+
+@add("st2_stage_order", ["submissions"], f"""
+WITH m AS (SELECT submitted_by AS id, status, created_at, {_STAGE_RANK} AS rank FROM submissions WHERE status IS NOT NULL),
+r AS (SELECT *, max(rank) OVER (PARTITION BY id ORDER BY created_at, status ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM m)
+SELECT id, status, strftime(created_at, '%Y-%m-%d') AS changed_at FROM r WHERE rank < reached""")
+def _(t):
+    moves = t.view("submissions", streaming=True).select(F.col("submitted_by").alias("id"), "status", F.col("created_at").cast("timestamp").alias("changed_at"))
+    base = new_folder(t.spark, "st2o")
+    finish(state.stage_order_violations(moves, base, f"{base}/state"))
+    return t.spark.read.parquet(f"{base}/steps/batch=*").select("id", "status", F.date_format("changed_at", "yyyy-MM-dd").alias("changed_at"))
 
 
-@add("st2_stage_order", ["submissions"])
+@add("s9_streamed_changes", [], f"""
+WITH new AS (SELECT o_orderkey::VARCHAR AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'approved' ELSE o_orderstatus END AS status FROM orders)
+SELECT CASE WHEN n.status IS DISTINCT FROM o.o_orderstatus THEN 'UPDATE' END AS action, 'submissions' AS entity_type, n.id AS entity_id,
+  '{{"id":"' || n.id || '","status":"' || o.o_orderstatus || '"}}' AS old_data, '{{"id":"' || n.id || '","status":"' || n.status || '"}}' AS new_data
+FROM new n JOIN orders o ON o.o_orderkey::VARCHAR = n.id WHERE n.status <> o.o_orderstatus""")
 def _(t):
-    moves = t.view("submissions", streaming=True).select(
-        "submitted_by", F.col("status"), F.col("created_at").cast("timestamp").alias("changed_at")
-    ).filter(F.col("status").isNotNull()).withColumnRenamed("submitted_by", "id")
-    return drain(t.spark, state.stage_order_violations(moves), "st2o")
+    old = t.table("orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderstatus").alias("status"))
+    arriving = t.stream("orders").select(
+        F.col("o_orderkey").cast("string").alias("id"), F.when(F.col("o_orderkey") % 5 == 0, "approved").otherwise(F.col("o_orderstatus")).alias("status")
+    )
+    base = new_folder(t.spark, "s9")
+    finish(changes.streamed_changes(old, arriving, "submissions", f"{base}/out", f"{base}/state"))
+    return t.spark.read.parquet(f"{base}/out/batch=*").select("action", "entity_type", "entity_id", "old_data", "new_data")

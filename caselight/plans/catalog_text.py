@@ -11,7 +11,6 @@ from caselight.functions import text as T
 from caselight.operators import extract as X
 from caselight.plans.catalog_core import trimmed
 from caselight.plans.registry import CATALOG
-from caselight.sources.documents import spread
 from caselight.schemas import (
     CASE_LABELS,
     CASE_RULES,
@@ -36,16 +35,16 @@ _JUNK = (
 
 
 @add("x1_binary_junk", [], f"""
-SELECT doc_id, {_JUNK} AS junk FROM (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN '%pdf-1.7 ' || text WHEN doc_id % 13 = 0 THEN substr(text, 1, 8)
-  WHEN doc_id % 17 = 0 THEN repeat(chr(2), 30) || substr(text, 1, 90) ELSE text END AS text FROM documents)""")
+SELECT doc_id, {_JUNK} AS junk FROM (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN '%pdf-1.7 ' || text WHEN doc_id % 13 = 0 THEN source
+  WHEN doc_id % 17 = 0 THEN repeat(chr(2), CAST(floor(n_chars / 3) AS INT)) || text ELSE text END AS text FROM documents)""")
 def _(t):
     marked = (
         F.when(F.col("doc_id") % 11 == 0, F.concat(F.lit("%pdf-1.7 "), "text"))
-        .when(F.col("doc_id") % 13 == 0, F.substring("text", 1, 8))
-        .when(F.col("doc_id") % 17 == 0, F.concat(F.repeat(F.lit("\x02"), 30), F.substring("text", 1, 90)))
+        .when(F.col("doc_id") % 13 == 0, F.col("source"))
+        .when(F.col("doc_id") % 17 == 0, F.concat(F.expr("repeat(char(2), CAST(floor(n_chars / 3) AS INT))"), "text"))
         .otherwise(F.col("text"))
     )
-    return spread(t.table("documents")).select("doc_id", marked.alias("text")).select("doc_id", Q.is_binary_junk(F.col("text")).alias("junk"))
+    return t.dealt("documents").select("doc_id", marked.alias("text")).select("doc_id", Q.is_binary_junk(F.col("text")).alias("junk"))
 
 
 # White space as a byte-oriented regex class cannot express all of it, the classes are spelled out.
@@ -58,7 +57,7 @@ _CLEAN = f"array_to_string(list_filter(string_split({_SQUEEZED}, chr(10)), lambd
 
 @add("x2_clean_documents", [], f"SELECT doc_id, length({_CLEAN}) AS size, md5({_CLEAN}) AS clean_md5 FROM documents")
 def _(t):
-    clean = spread(t.table("documents")).select("doc_id", Q.clean_text(F.col("text")).alias("c"))
+    clean = t.dealt("documents").select("doc_id", Q.clean_text(F.col("text")).alias("c"))
     return clean.select("doc_id", F.length("c").cast("bigint").alias("size"), F.md5("c").alias("clean_md5"))
 
 
@@ -76,7 +75,7 @@ SELECT doc_id, CASE WHEN {_SIZE} < 100 THEN 'low' WHEN {_SIZE} < 500 THEN 'mediu
     CASE WHEN {_SIZE} > 0 AND doc_id % 10 < 5 THEN 'Low page extraction rate (' || (doc_id % 10) * 10 || '%)' END) AS warnings FROM documents""")
 def _(t):
     pages, total = F.col("doc_id") % 10, F.lit(10)
-    return spread(t.table("documents")).select(
+    return t.dealt("documents").select(
         "doc_id", Q.checked_quality(F.col("text"), F.lit("unknown")).alias("quality"),
         F.array_join(Q.extraction_warnings(F.col("text"), pages, total), "|").alias("warnings"),
     )
@@ -89,7 +88,7 @@ def _(t):
     key = F.col("doc_id")
     error = F.when(key % 23 == 0, "unreadable")
     rate = Q.rate_quality(F.col("text"), key % 11, F.lit(10), key % 21 / F.lit(20.0), error)
-    return spread(t.table("documents")).select("doc_id", rate.alias("quality"))
+    return t.dealt("documents").select("doc_id", rate.alias("quality"))
 
 
 _T = "nullif(length(text), 0)"
@@ -103,7 +102,7 @@ SELECT doc_id, (CASE WHEN {_AL} > 0.5 AND {_AL} < 0.8 THEN 4 WHEN {_AL} > 0.4 AN
   + CASE WHEN {_SP} > 0.15 AND {_SP} < 0.35 THEN 3 WHEN {_SP} > 0.1 AND {_SP} < 0.4 THEN 2 ELSE 1 END
   + CASE WHEN {_PU} > 0.01 AND {_PU} < 0.2 THEN 3 ELSE 1 END) / 10 AS confidence FROM documents""")
 def _(t):
-    return spread(t.table("documents")).select("doc_id", Q.text_confidence(F.col("text")).alias("confidence"))
+    return t.dealt("documents").select("doc_id", Q.text_confidence(F.col("text")).alias("confidence"))
 
 
 @add("x6_page_rollup", ["doc_pages"], f"""
@@ -119,6 +118,20 @@ def _(t):
     )
 
 
+@add("x7_extraction_chain", ["text_candidates"], f"""
+WITH best AS (SELECT doc_id, min(method_rank) AS method_rank FROM text_candidates WHERE {_SIZE} >= 100 GROUP BY 1),
+c AS (SELECT d.doc_id, b.method_rank, {_CLEAN} AS clean FROM (SELECT DISTINCT doc_id FROM text_candidates) d LEFT JOIN best b USING (doc_id)
+  LEFT JOIN text_candidates t ON t.doc_id = b.doc_id AND t.method_rank = b.method_rank),
+q AS (SELECT *, CASE WHEN method_rank IS NULL OR length({trimmed("clean")}) < 100 THEN 'low' WHEN method_rank = 3 AND length({trimmed("clean")}) < 500 THEN 'medium'
+  WHEN method_rank = 1 THEN 'high' WHEN method_rank = 2 THEN 'medium' ELSE 'unknown' END AS quality FROM c)
+SELECT doc_id, coalesce(method_rank, 0) AS method_rank, quality, md5(CASE WHEN quality = 'low' THEN '' ELSE clean END) AS text_md5,
+  CASE WHEN method_rank IS NULL THEN 'No text extracted from document' WHEN quality = 'low' THEN 'Extraction quality too low - document may be corrupted or unreadable' ELSE '' END AS error FROM q""")
+def _(t):
+    rated = F.when(F.col("method_rank") == 1, "high").when(F.col("method_rank") == 2, "medium").otherwise("unknown")
+    out = X.checked_extraction(t.view("text_candidates").withColumn("quality", rated))
+    return out.select("doc_id", F.coalesce("method_rank", F.lit(0)).alias("method_rank"), "quality", F.md5("text").alias("text_md5"), F.coalesce("error", F.lit("")).alias("error"))
+
+
 @add("x8_tables_as_text", [], """
 SELECT o_orderkey, 'Field | Value' || chr(10) || '--- | ---' || chr(10) || 'Status | ' || o_orderstatus || chr(10) || 'Priority | ' ||
   CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE o_orderpriority || ' x' END AS text FROM orders""")
@@ -289,4 +302,4 @@ def _(t):
 @add("x17_document_codes", [], """
 SELECT doc_id, array_to_string(regexp_extract_all(text, '\\b([0-9]{5,6})\\b', 1), ',') AS codes FROM documents""")
 def _(t):
-    return spread(t.table("documents")).select("doc_id", F.array_join(T.postal_codes(F.col("text")), ",").alias("codes"))
+    return t.dealt("documents").select("doc_id", F.array_join(T.postal_codes(F.col("text")), ",").alias("codes"))

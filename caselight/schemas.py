@@ -154,6 +154,7 @@ ADR_MANDATORY = {
     "report_date": {"type": "string"},
 }
 ADR_RECOMMENDED = ["severity", "outcome", "duration", "concomitant_medications"]
+ADR_OPTIONAL = ["patient_gender", "patient_weight", "medical_history", "reporter_title", "reporter_phone", "reporter_email"]
 
 # Line listing case: the eleven mandatory fields, in report order.
 CASE_RULES = {

@@ -174,3 +174,22 @@ def test_similarity(spark):
 
 def test_postal_codes(spark):
     assert run(spark, lambda: text.postal_codes(F.col("v")), "Delhi 110001, box 12345 and 1234567") == [["110001", "12345"]]
+
+
+def test_strip_takes_linear_time(one):
+    import time
+
+    from caselight.functions.presence import strip
+
+    start = time.time()
+    long = "a" + " " * 1_000_000 + "b"
+    assert one(strip, "  x\t", long, " " * 500_000, "　y\x1c") == ["x", long, "", "y"]
+    assert time.time() - start < 5
+
+
+def test_pseudonyms_stand_where_the_hits_are(one):
+    from caselight.operators.privacy import pseudonymize
+
+    assert one(pseudonymize, "Name: A\nAll About AADHAAR 1234 5678 9012 a@b.cc x@y.zz a@b.cc", "plain", None) == [
+        "Name: [PERSON_1]\nAll About AADHAAR [AADHAAR_1] [EMAIL_1] [EMAIL_2] [EMAIL_1]", "plain", None,
+    ]
