@@ -21,6 +21,8 @@ from caselight.sources.shipping import ship
 SHINGLE, SCALE = 5, 8
 #: Bytes handled at once; a longer document is handled in overlapping runs of words of this size.
 SLAB = 1 << 20
+#: Rows taken out of an Arrow batch at once.
+ROWS = 256
 
 _PLACE = np.random.default_rng(11).integers(0, 2**64, SHINGLE, dtype=np.uint64) | np.uint64(1)
 _INSIDE = np.ones(256, bool)
@@ -188,11 +190,11 @@ def compared(docs: DataFrame, id: str = "doc_id", text: str = "text", scale: int
 
     def run(batches):
         ids, copies, texts, size = [], [], [], 0
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             for i, copy, t in zip(batch.column("id").to_pylist(), batch.column("copy").to_pylist(), batch.column("text").to_pylist()):
                 ids.append(i), copies.append(copy), texts.append(t)
                 size += len(t)
-                if size > 4 * SLAB and len(texts) > 1:
+                if size > SLAB and len(texts) > 1:
                     yield _compared(ids, copies, texts, scale)
                     ids, copies, texts = ids[-1:], copies[-1:], texts[-1:]
                     size = len(t)
