@@ -24,7 +24,7 @@ DICTIONARY = 32768
 #: A text is compressed in blocks of this many bytes, so that its own repeats do not hide the dictionary's help.
 BLOCK = 4096
 #: A text is accepted if the second smallest result is larger than the smallest by this share.
-MARGIN = 0.005
+MARGIN = 0.002
 #: Turns compressed bytes per byte of text into a probability.
 SHARPNESS = 60.0
 UNKNOWN = "und"
