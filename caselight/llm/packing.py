@@ -7,6 +7,7 @@ piece finds its place from its rank among the pieces of its length.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 
@@ -25,6 +26,9 @@ CAPACITY, END = 1024, 2
 NODES, WIDTH = 300, 3
 #: Sums that are looked at for further fillings of one bin, the fullest first, once there is one.
 LOOKS = 4
+#: Run of white space from which on the tokenizer file is used; tiktoken's regex gives up on a run of about a million.
+BLANKS = 100_000
+_BLANK_RUN = re.compile(rf"(?<!\s)\s{{{BLANKS}}}")
 
 
 # ---------------------------------------------------------------- pieces
@@ -41,6 +45,27 @@ def tokenizer(path: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def tokenizer_file(path: str):
+    """The tokenizer file beside a rank file, slower but without a limit to runs of white space."""
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(path.removesuffix(".tiktoken") + ".json")
+    whole.encode_special_tokens = True
+    return whole
+
+
+def encoder(path: str):
+    """Function from a text to its ids, however long its runs of white space are."""
+    quick = tokenizer(path).encode_ordinary
+
+    def encode(text: str) -> list[int]:
+        if len(text) < BLANKS or not _BLANK_RUN.search(text):
+            return quick(text)
+        return cached(("tokenizer file", path), lambda: tokenizer_file(path)).encode(text, add_special_tokens=False).ids
+
+    return encode
+
+
 def vocabulary() -> str:
     import public_tokenizers
 
@@ -62,7 +87,7 @@ def pieces(docs: DataFrame, id: str = "doc_id", text: str = "text", capacity: in
 
     def run(batches):
         place = path or vocabulary()
-        encode = cached(("tokenizer", place), lambda: tokenizer(place)).encode_ordinary
+        encode = cached(("encoder", place), lambda: encoder(place))
         part, seen = TaskContext.get().partitionId(), Counter()
         for batch in batches:
             out = []

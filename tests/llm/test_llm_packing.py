@@ -100,6 +100,16 @@ def test_ids_equal_the_tokenizer_file(spark, small):
     assert [[*encode(t or ""), 2] for t in texts] == reference_ids(texts)
 
 
+def test_ids_of_very_long_blank_runs_equal_the_tokenizer_file(spark):
+    texts = [" " * 2_000_000, "a b" + "\n" * 1_200_000 + " c", "x" + "\u3000 " * 600_000 + "y <|endoftext|>", " " * 99_999 + "z", "q" + "\t" * 100_000]
+    want = reference_ids(texts)
+    encode = p.encoder(p.vocabulary())
+    assert [[*encode(t), 2] for t in texts] == want
+    got = p.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    crcs = {(i, n): zlib.crc32(np.array(ids[s : s + length], "<u4").tobytes()) for i, ids in enumerate(want) for n, (s, length) in enumerate(p.cut(len(ids), 1024))}
+    assert {(r["doc_id"], r["piece"]): r["ids_crc32"] for r in got} == crcs
+
+
 def test_pack_round_trip(spark, small):
     texts = TEXTS + [r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").limit(60).collect()]
     rows = [(i, t, "x") for i, t in enumerate(texts)] + [(None, "null id", "x"), (3, TEXTS[3], "x"), (3, TEXTS[3], "x")]
