@@ -22,6 +22,17 @@ def read(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFram
     return df.select(*columns) if columns else df
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it needs to clash with no column of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def remainder(doc_id: Column, parts: int) -> Column:
     """crc32 of an id as text, modulo ``parts``; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from caselight.llm import decontaminate, langid, packing, pii, quality, secrets, simhash, sketch, toxicity, urls
-from caselight.llm.common import read, remainder
+from caselight.llm import decontaminate, langid, lines, merkle, packing, pii, quality, search, secrets, simhash, sketch, toxicity, urls
+from caselight.llm.common import LOWER, UPPER, read, remainder
 
 
 RULES = [
@@ -168,6 +168,86 @@ FROM doc LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
 
 
+def op11_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = lines.without_repeats(read(spark, folder, "documents", "doc_id", "text"))
+    return found.select("doc_id", "deduplicated.n_lines", "deduplicated.n_dropped", F.sha2("deduplicated.text", 256).alias("kept_sha256"))
+
+
+OP11 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT r, doc_id, i, ls[i] AS line, trim(translate(ls[i], '{UPPER}', '{LOWER}'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS k FROM (SELECT r, doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
+g AS (SELECT k, max(doc_id) AS top FROM (SELECT DISTINCT r, doc_id, k FROM l WHERE length(k) >= {lines.CHARS}) GROUP BY k HAVING count(*) >= {lines.LEAST}),
+m AS (SELECT l.r, l.doc_id, l.i, l.line, coalesce(g.top IS DISTINCT FROM l.doc_id AND g.top IS NOT NULL, false) AS gone FROM l LEFT JOIN g USING (k))
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY r
+"""
+
+
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return search.ranked(read(spark, folder, "documents", "doc_id", "text"), read(spark, folder, "benchmark", "item_id", "text"))
+
+
+_TERMS = rf"regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP12 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents WHERE text IS NOT NULL),
+total AS (SELECT count(*)::BIGINT AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY r, term),
+item AS (SELECT row_number() OVER () AS q, item_id, list_distinct({_TERMS}) AS w FROM benchmark WHERE text IS NOT NULL),
+wanted AS (SELECT q, item_id, unnest(w) AS term FROM item),
+idf AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM tf, total WHERE term IN (SELECT term FROM wanted) GROUP BY term, n_docs),
+doc AS (SELECT r, doc_id, 100 - {search.SLOPE} + ({search.SLOPE} * len(w)::BIGINT * n_docs) // n_terms AS m FROM d, total WHERE len(w) > 0),
+gain AS (SELECT r, doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 8 * m)) AS gain FROM tf JOIN idf USING (term) JOIN doc USING (r)),
+score AS (SELECT q, any_value(item_id) AS item_id, r, any_value(doc_id) AS doc_id, sum(gain)::BIGINT AS score FROM wanted JOIN gain USING (term) GROUP BY q, r),
+best AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id ASC NULLS LAST) AS rank FROM score WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM best WHERE rank <= {search.TOP}
+"""
+
+
+def lowered(text: Column) -> Column:
+    return F.translate(text, UPPER, LOWER)
+
+
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents", "doc_id", "source", "lang", "n_chars", "text")
+    values = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    hit = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    changed = F.when(hit, merkle.leaf(*values, lowered(F.col("text"))))
+    found = merkle.manifest(docs, "doc_id", "source", [*values, F.col("text")], {"changed": changed})
+    folded = merkle.folded(F.coalesce("changed", "leaf"), F.col("path"))
+    found = found.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"), folded.alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _op13_sql() -> str:
+    """Trees of up to eight levels, each level a grouping of the one below; a document's way up, level by level."""
+    value = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR END"
+    row = lambda text: "sha256(" + " || ".join(map(value, ["doc_id", "source", "lang", "n_chars", text])) + ")"
+    steps = "list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [unicode(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])))"
+    crc = f"xor(list_reduce({steps}, lambda c, e: CASE WHEN e >= 0 THEN xor(c, e) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295::BIGINT)"
+    w = merkle.WIDTH
+    sql = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, {row("text")} AS leaf, CASE WHEN doc_id IS NOT NULL AND {crc} % 5 = 0 THEN {row(f"translate(text, '{UPPER}', '{LOWER}')")} END AS changed FROM documents),
+s0 AS (SELECT r, doc_id, leaf, coalesce(changed, leaf) AS fold, '' AS proof, leaf AS own, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS k FROM d)"""
+
+    def climb(prefix: str, nodes: str, rows: str, count: int) -> tuple[str, str, str]:
+        out = f",\n{prefix}n0 AS ({nodes}),\n{prefix}d0 AS ({rows})"
+        for i in range(count):
+            n, d = f"{prefix}n{i}", f"{prefix}d{i}"
+            out += f""",
+{prefix}n{i + 1} AS (SELECT tree, k // {w} AS k, sha256(string_agg(h, '' ORDER BY k)) AS h FROM {n} WHERE tree IN (SELECT tree FROM {n} GROUP BY tree HAVING count(*) > 1) GROUP BY ALL),
+{prefix}b{i} AS (SELECT a.r, string_agg(n.h, '' ORDER BY n.k) FILTER (n.k < a.pos) AS lft, string_agg(n.h, '' ORDER BY n.k) FILTER (n.k > a.pos) AS rgt, any_value(up.h) AS up
+  FROM {d} a JOIN {n} n ON n.tree = a.tree AND n.k // {w} = a.pos // {w} JOIN {prefix}n{i + 1} up ON up.tree = a.tree AND up.k = a.pos // {w} GROUP BY a.r),
+{prefix}d{i + 1} AS (SELECT a.* EXCLUDE (pos, fold, proof, own), a.pos // {w} AS pos, CASE WHEN b.r IS NULL THEN fold ELSE sha256(coalesce(lft, '') || fold || coalesce(rgt, '')) END AS fold, proof || coalesce(lft, '') || coalesce(rgt, '') AS proof, coalesce(b.up, own) AS own FROM {d} a LEFT JOIN {prefix}b{i} b USING (r))"""
+        return out, f"{prefix}n{count}", f"{prefix}d{count}"
+
+    part, _, low = climb("l", "SELECT tree, k, leaf AS h FROM s0", "SELECT *, k AS pos FROM s0", 6)
+    sql += part
+    sql += f",\nsub AS (SELECT tree, any_value(own) AS h FROM {low} GROUP BY tree)"
+    part, _, high = climb("t", "SELECT 0 AS tree, tree AS k, h FROM sub", f"SELECT r, doc_id, leaf, own AS subroot, fold, proof, own, 0 AS tree, tree AS pos FROM {low}", 4)
+    sql += part
+    return sql + f"\nSELECT doc_id, leaf, subroot, own AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = own AS verified FROM {high}"
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_toxicity": op2_toxicity,
@@ -179,6 +259,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_merkle_manifest": op13_merkle_manifest,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"op1_url_filter": OP1, "op4_secrets": _op4_sql(), "op10_decontamination": OP10}
+ORACLES: dict[str, str] = {"op1_url_filter": OP1, "op4_secrets": _op4_sql(), "op10_decontamination": OP10, "op11_line_dedup": OP11, "op12_lexical_search": OP12, "op13_merkle_manifest": _op13_sql()}
