@@ -7,8 +7,9 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 # Every white space character a text library strips, as a regex class: ASCII and Unicode white space
 # and the four information separators. Spelled out, it matches far faster than the Unicode mode.
 SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-# An inner run is tried once, at its start, and never given back, so that long runs take linear time.
-ENDS = rf"\A{SPACE}++|(?<!{SPACE}){SPACE}++\z"
+# An inner run is tried once, at its first character, and never given back, so that long runs take linear time; what lies before is
+# looked at only where a blank was met.
+ENDS = rf"\A{SPACE}++|{SPACE}(?<!{SPACE}{{2}}){SPACE}*+\z"
 
 
 def strip(c: Column) -> Column:
