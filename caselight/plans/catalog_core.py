@@ -8,6 +8,7 @@ from pyspark.sql import Column, functions as F
 
 from caselight.operators import analytics as A
 from caselight.operators import relations as R
+from caselight.operators.ordering import write_order_index
 from caselight.plans.registry import CATALOG
 from caselight.schemas import OUTCOME_BUCKETS, SEVERITY_BUCKETS, TABLE_STATUSES
 from caselight.sources import changes, documents, sinks
@@ -160,6 +161,20 @@ def _(t):
     return _flat_overview(A.submission_page(t.view("submissions"), t.view("results"), 2, 25))
 
 
+_DEEP = "(SELECT greatest(1, ceil(count(*) / 25)::BIGINT * 3 // 5) FROM submissions)"
+
+
+@add("a7_deep_page", ["submissions", "results"], _OVERVIEW.replace(
+    "SELECT s.id, s.filename",
+    f"SELECT {_DEEP} AS page, 25 AS per_page, (SELECT count(*) FROM submissions) AS total, (SELECT ceil(count(*) / 25)::BIGINT FROM submissions) AS pages, s.id, s.filename",
+) + f" QUALIFY row_number() OVER (ORDER BY s.created_at DESC, s.id) BETWEEN ({_DEEP} - 1) * 25 + 1 AND {_DEEP} * 25")
+def _(t):
+    rows = t.view("submissions")
+    index = write_order_index(rows, A.newest_first())
+    page = max(1, -(-index.total // 25) * 3 // 5)
+    return _flat_overview(A.indexed_page(index, rows, t.view("results"), page, 25))
+
+
 @add("a7_page_after", ["submissions"], """
 SELECT id, status FROM submissions WHERE created_at < TIMESTAMP '1998-06-30' OR (created_at = TIMESTAMP '1998-06-30' AND id > '5')
 ORDER BY created_at DESC, id LIMIT 20""")

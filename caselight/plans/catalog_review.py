@@ -13,6 +13,7 @@ from caselight.operators import relations as R
 from caselight.operators import reports as T
 from caselight.operators.clean import clean_forms
 from caselight.operators.extract import parse_reports
+from caselight.operators.mondrian import BINS, mondrian
 from caselight.operators.privacy import PII_PATTERNS
 from caselight.operators.rules import check_cases, check_reports
 from caselight.plans import catalog_clean as CC
@@ -325,6 +326,39 @@ def _(t):
     return Y.suppress_small_classes(_generalized(t), _QUASI).select("id", "class_size", "suppressed", *_QUASI)
 
 
+_MONDRIAN = ["age", "city", "hospital", "gender"]
+
+
+def _mondrian_sql(levels: int = 20) -> str:
+    """The same cuts with one group of common table expressions per level; a box that cannot be cut keeps its number."""
+    dims = range(len(_MONDRIAN))
+    names = ", ".join(_MONDRIAN)
+    parts = [f"cells AS MATERIALIZED (SELECT {names}, count(*) AS n FROM patients GROUP BY ALL)"]
+    for i, q in enumerate(_MONDRIAN):
+        parts.append(f"v{i} AS MATERIALIZED (SELECT {q}, (coalesce(sum(r) OVER (ORDER BY {q} NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * {BINS} // (SELECT sum(n) FROM cells))::INT AS b{i} FROM (SELECT {q}, sum(n) AS r FROM cells GROUP BY 1))")
+    joins = " ".join(f"JOIN v{i} ON v{i}.{q} IS NOT DISTINCT FROM cells.{q}" for i, q in enumerate(_MONDRIAN))
+    bins = ", ".join(f"b{i}" for i in dims)
+    parts.append(f"o0 AS MATERIALIZED (SELECT {', '.join(f'cells.{q}' for q in _MONDRIAN)}, n, {bins}, 1::BIGINT AS box FROM cells {joins})")
+    parts.append("w AS MATERIALIZED (SELECT " + ", ".join(f"greatest(1, max(b{i})) AS w{i}" for i in dims) + " FROM o0)")
+    for j in range(levels):
+        parts.append(f"h{j} AS MATERIALIZED (SELECT box, dim, bin, sum(n) AS n FROM (SELECT box, n, unnest([{', '.join(map(str, dims))}]) AS dim, unnest([{bins}]) AS bin FROM o{j}) GROUP BY ALL)")
+        parts.append(f"c{j} AS MATERIALIZED (SELECT box, dim, bin, sum(n) OVER (PARTITION BY box, dim ORDER BY bin) AS lo, sum(n) OVER (PARTITION BY box, dim) AS al, max(bin) OVER (PARTITION BY box, dim) - min(bin) OVER (PARTITION BY box, dim) AS wide FROM h{j})")
+        share = "CASE dim " + " ".join(f"WHEN {i} THEN wide / w{i}" for i in dims) + " END"
+        parts.append(f"p{j} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY box ORDER BY share DESC, dim, abs(2 * lo - al), bin) AS nr FROM (SELECT *, {share} AS share FROM c{j}, w WHERE lo >= 5 AND al - lo >= 5))")
+        own = "CASE p.dim " + " ".join(f"WHEN {i} THEN b{i}" for i in dims) + " END"
+        parts.append(f"o{j + 1} AS MATERIALIZED (SELECT {', '.join(f'o.{q}' for q in _MONDRIAN)}, o.n, {bins}, CASE WHEN p.bin IS NULL THEN o.box ELSE 2 * o.box + ({own} > p.bin)::INT END AS box FROM o{j} o LEFT JOIN p{j} p ON p.box = o.box AND p.nr = 1)")
+    ranges = ", ".join(f"CASE WHEN min({q}) = max({q}) THEN min({q})::VARCHAR ELSE min({q})::VARCHAR || '-' || max({q})::VARCHAR END AS t{i}" for i, q in enumerate(_MONDRIAN))
+    parts.append(f"boxes AS (SELECT box, sum(n)::BIGINT AS class_size, {ranges} FROM o{levels} GROUP BY box)")
+    shown = ", ".join(f"t{i} AS {q}" for i, q in enumerate(_MONDRIAN))
+    match = " AND ".join(f"o.{q} IS NOT DISTINCT FROM patients.{q}" for q in _MONDRIAN)
+    return f"WITH {', '.join(parts)} SELECT id, class_size, class_size < 5 AS suppressed, {shown} FROM patients JOIN o{levels} o ON {match} JOIN boxes USING (box)"
+
+
+@add("y4_mondrian", ["patients"], _mondrian_sql())
+def _(t):
+    return mondrian(t.view("patients"), _MONDRIAN).select("id", "class_size", "suppressed", *_MONDRIAN)
+
+
 @add("y5_l_diversity", ["patients"], f"WITH {_GEN} SELECT region, gender, count(*) AS class_size, count(DISTINCT diagnosis) AS l_value FROM g GROUP BY 1, 2")
 def _(t):
     return Y.l_diversity(_generalized(t), ["region", "gender"], "diagnosis")
