@@ -473,7 +473,8 @@ SELECT id AS submission_1_id, id_2 AS submission_2_id, d AS date, abs(drug_count
 def _(t):
     base = new_folder(t.spark, "st5")
     finish(state.same_day_pairs(t.view("filings", streaming=True), base, f"{base}/state"))
-    return t.spark.read.parquet(f"{base}/pairs/batch=*").select("submission_1_id", "submission_2_id", "date", "drug_count_diff")
+    finish(state.same_day_pairs_across(t.spark, base, f"{base}/state_across"))
+    return state.written_pairs(t.spark, base).select("submission_1_id", "submission_2_id", "date", "drug_count_diff")
 
 
 _STAGE_RANK = "CASE " + " ".join(f"WHEN status = '{s}' THEN {i}" for i, s in enumerate(PROCESSING_STAGES)) + f" ELSE {len(PROCESSING_STAGES)} END"
@@ -487,7 +488,8 @@ def _(t):
     moves = t.view("submissions", streaming=True).select(F.col("submitted_by").alias("id"), "status", F.col("created_at").cast("timestamp").alias("changed_at"))
     base = new_folder(t.spark, "st2o")
     finish(state.stage_order_violations(moves, base, f"{base}/state"))
-    return t.spark.read.parquet(f"{base}/steps/batch=*").select("id", "status", F.date_format("changed_at", "yyyy-MM-dd").alias("changed_at"))
+    finish(state.stage_order_violations_across(t.spark, base, f"{base}/state_across"))
+    return state.written_steps(t.spark, base).select("id", "status", F.date_format("changed_at", "yyyy-MM-dd").alias("changed_at"))
 
 
 @add("s9_streamed_changes", [], f"""

@@ -2,10 +2,11 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from caselight.streaming import state
-from caselight.streaming.sinks import current, drain, finish, write_batches
+from caselight.streaming import keyed, state
+from caselight.streaming.sinks import append_to, current, drain, finish, write_batches
 
 
 def _files(spark, tmp_path, rows, schema, parts):
@@ -18,43 +19,99 @@ def _files(spark, tmp_path, rows, schema, parts):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(tmp_path / "src"))
 
 
-def test_same_day_pairs_of_a_hot_applicant(spark, tmp_path):
+def _pairs(spark, stream, path, **options):
+    keep = {k: v for k, v in options.items() if k == "keep_days"}
+    finish(state.same_day_pairs(stream, f"{path}/out", f"{path}/check", **options))
+    finish(state.same_day_pairs_across(spark, f"{path}/out", f"{path}/check_across", **keep))
+    return sorted((r.submission_1_id, r.submission_2_id, r.drug_count_diff) for r in state.written_pairs(spark, f"{path}/out").collect())
+
+
+_FILING = "pos long, id string, applicant_name string, created_date string, drug_count int"
+
+
+@pytest.mark.parametrize("batches", [1, 4])
+def test_same_day_pairs_of_a_hot_applicant(spark, tmp_path, batches):
     rows = [(i, f"s{i}", "Dr. A" if i % 2 else "dr a", "2024-01-05", i % 7) for i in range(30000)]
-    order = list(range(30000))
-    random.Random(1).shuffle(order)
-    schema = "pos long, id string, applicant_name string, created_date string, drug_count int"
-    stream = _files(spark, tmp_path, rows, schema, [order])
-    finish(state.same_day_pairs(stream, str(tmp_path / "out"), str(tmp_path / "check"), bucket=1000))
-    got = {(r.submission_1_id, r.submission_2_id, r.drug_count_diff) for r in spark.read.parquet(str(tmp_path / "out/pairs/batch=*")).collect()}
-    assert got == {(f"s{i}", f"s{i + 1}", abs(i % 7 - (i + 1) % 7)) for i in range(29999)}
+    parts = [list(range(k * 30000 // batches, (k + 1) * 30000 // batches)) for k in range(batches)]
+    for part in parts:
+        random.Random(1).shuffle(part)
+    got = _pairs(spark, _files(spark, tmp_path, rows, _FILING, parts), tmp_path, bucket=1000)
+    assert got == sorted((f"s{i}", f"s{i + 1}", abs(i % 7 - (i + 1) % 7)) for i in range(29999))
+
+
+@pytest.mark.parametrize("cuts", [[], [7], [3, 5, 11, 40], list(range(5, 60, 5))])
+def test_same_day_pairs_in_any_split(spark, tmp_path, cuts):
+    rng = random.Random(6)
+    rows = [(i, f"s{i}", rng.choice("ABC"), rng.choice(["2024-01-01", "2024-01-02", None, "odd"]), rng.randrange(9)) for i in range(60)]
+    parts = [list(range(a, b)) for a, b in zip([0, *cuts], [*cuts, 60])]
+    last, want = {}, []
+    for r in rows:
+        key = (r[2], r[3])
+        if key in last:
+            want.append((last[key][1], r[1], abs(last[key][4] - r[4])))
+        last[key] = r
+    assert _pairs(spark, _files(spark, tmp_path, rows, _FILING, parts), tmp_path) == sorted(want)
 
 
 def test_same_day_pairs_across_batches_and_forgetting(spark, tmp_path):
-    schema = "pos long, id string, applicant_name string, created_date string, drug_count int"
     rows = [(0, "a", "X", "2024-01-01", 1), (1, "b", "X", "2024-01-01", 4), (2, "c", "Y", None, 0), (3, "d", "X", "2024-01-01", 9), (4, "e", "X", "2024-03-01", 0), (5, "f", "X", "2024-01-01", 0), (6, "g", "Y", None, 2)]
-    stream = _files(spark, tmp_path, rows, schema, [[1, 0, 2], [3], [4], [6, 5]])
-    finish(state.same_day_pairs(stream, str(tmp_path / "out"), str(tmp_path / "check"), keep_days=10))
-    got = {(r.submission_1_id, r.submission_2_id, r.drug_count_diff) for r in spark.read.parquet(str(tmp_path / "out/pairs/batch=*")).collect()}
-    assert got == {("a", "b", 3), ("b", "d", 5), ("c", "g", 2)}
+    stream = _files(spark, tmp_path, rows, _FILING, [[1, 0, 2], [3], [4], [6, 5]])
+    assert _pairs(spark, stream, tmp_path, keep_days=10) == [("a", "b", 3), ("b", "d", 5), ("c", "g", 2)]
+
+
+def test_state_is_cleared_by_timers_and_grows_with_batches_only(spark, tmp_path):
+    """Days that are past leave the state store, and a batch updates the keys it holds, not all."""
+    rows = [(i, f"s{i}", f"N{i % 50}", f"2024-{1 + i // 200:02d}-10", 1) for i in range(800)]
+    stream = _files(spark, tmp_path, rows, _FILING, [range(0, 200), range(200, 400), range(400, 600), range(600, 610)])
+    finish(state.same_day_pairs(stream, f"{tmp_path}/out", f"{tmp_path}/check", keep_days=10))
+    rows = state.summaries(spark, f"{tmp_path}/out/ends", ["date_key", "applicant_key"], max_files=1)
+    met = state.before_each_batch(rows, ["date_key", "applicant_key"], state._later, "10 days 12 hours")
+    query = append_to(met, f"{tmp_path}/met", f"{tmp_path}/check_met")
+    finish(query)
+    kept = [s.numRowsTotal for p in query.recentProgress for s in p.stateOperators]
+    updated = [s.numRowsUpdated for p in query.recentProgress for s in p.stateOperators]
+    assert max(kept) < 4 * 3 * 60 and kept[-1] <= 3 * 60  # a key has a value and its timer's rows
+    assert sum(updated) < 4 * 160 * 3
+
+
+def test_a_batch_that_is_written_again_counts_once(spark, tmp_path):
+    frame = lambda n, ids: spark.createDataFrame([(i, f"v{n}{i}", False, False, None, None) for i in ids], "id string, value string, lost boolean, gone boolean, expires timestamp, seen timestamp")
+    def run():
+        met = keyed.before_each_batch(keyed.summaries(spark, f"{tmp_path}/in", ["id"]), ["id"], lambda old, new: f"{old or ''}+{new}")
+        finish(append_to(met, f"{tmp_path}/met", f"{tmp_path}/check"))
+        return sorted((r["id"], r["batch"], r["before"]) for r in spark.read.parquet(f"{tmp_path}/met").collect())
+
+    frame(0, "ab").write.parquet(f"{tmp_path}/in/batch=0")
+    assert run() == [("a", 0, None), ("b", 0, None)]
+    frame(0, "ab").write.mode("overwrite").parquet(f"{tmp_path}/in/batch=0")
+    frame(1, "bc").write.parquet(f"{tmp_path}/in/batch=1")
+    assert run() == [("a", 0, None), ("b", 0, None), ("b", 1, "+v0b"), ("c", 1, None)]
+
+
+def _steps(spark, stream, path):
+    finish(state.stage_order_violations(stream, f"{path}/out", f"{path}/check"))
+    finish(state.stage_order_violations_across(spark, f"{path}/out", f"{path}/check_across"))
+    return sorted((r["id"], r["status"], r["changed_at"].timestamp()) for r in state.written_steps(spark, f"{path}/out").collect())
 
 
-def test_stage_order_of_a_hot_submission(spark, tmp_path):
+@pytest.mark.parametrize("cuts", [[], [15000], [1, 2000, 2001, 29000]])
+def test_stage_order_of_a_hot_submission_in_any_split(spark, tmp_path, cuts):
     from caselight.schemas import PROCESSING_STAGES as S
 
     rng = random.Random(2)
-    rows = [("hot", rng.choice([*S, "odd", None]), 1700000000 + i) for i in range(30000)]
-    order = list(range(30000))
-    rng.shuffle(order)
-    halves = [[i for i in order if i < 15000], [i for i in order if i >= 15000]]
-    stream = _files(spark, tmp_path, rows, "id string, status string, s long", halves).select("id", "status", F.timestamp_seconds("s").alias("changed_at"))
-    finish(state.stage_order_violations(stream, str(tmp_path / "out"), str(tmp_path / "check")))
-    want, reached = 0, -1
-    for _, status, _ in rows:
-        if status is not None:
+    rows = [(rng.choice(["hot"] * 6 + ["b", "c", None]), rng.choices([*S, "odd", None], [30, 20, 10, 5, 0.002, 0.0005, 3])[0], 1700000000 + i) for i in range(30000)]
+    parts = [list(range(a, b)) for a, b in zip([0, *cuts], [*cuts, 30000])]
+    for part in parts:
+        rng.shuffle(part)
+    stream = _files(spark, tmp_path, rows, "id string, status string, s long", parts).select("id", "status", F.timestamp_seconds("s").alias("changed_at"))
+    want, reached = [], {}
+    for i, status, s in rows:
+        if i is not None and status is not None:
             rank = S.index(status) if status in S else len(S)
-            want += rank < reached
-            reached = max(reached, rank)
-    assert spark.read.parquet(str(tmp_path / "out/steps/batch=*")).count() == want
+            if rank < reached.get(i, -1):
+                want.append((i, status, float(s)))
+            reached[i] = max(reached.get(i, -1), rank)
+    assert _steps(spark, stream, tmp_path) == sorted(want)
 
 
 def test_counts_include_open_windows_and_late_rows_are_counted(spark, tmp_path):
