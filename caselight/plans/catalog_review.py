@@ -26,6 +26,7 @@ from caselight.sources import changes
 from caselight.sources.staging import new_folder, stage
 from caselight.streaming import state
 from caselight.streaming.sinks import drain, finish
+from caselight.streaming.toplists import top_values_per_window, top_values_stream
 
 add = CATALOG.add
 AS_OF = dt.date(2026, 6, 30)
@@ -458,6 +459,30 @@ def _(t):
     return out.select("user_id", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("session_start"), "n")
 
 
+def _top_sql(column: str) -> str:
+    return f"""
+WITH c AS (SELECT floor(epoch(created_at) / 7776000) AS w, trim({column}) AS value, count(*) AS n FROM submissions WHERE trim({column}) <> '' GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY n DESC, value) AS rank FROM c)
+SELECT strftime(to_timestamp(w * 7776000) AT TIME ZONE 'UTC', '%Y-%m-%d') AS window_start, rank::INT AS rank, value, n FROM r WHERE rank <= 5"""
+
+
+def _top(t, column: str):
+    rows = t.view("submissions", streaming=True).withColumn("created_at", F.col("created_at").cast("timestamp"))
+    base = new_folder(t.spark, "st3top")
+    finish(top_values_stream(rows, "created_at", column, "90 days", base, f"{base}/state"))
+    return top_values_per_window(t.spark, base).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
+
+
+@add("st3_top_events", ["submissions"], _top_sql("adverse_event"))
+def _(t):
+    return _top(t, "adverse_event")
+
+
+@add("st3_top_drugs", ["submissions"], _top_sql("drug_name"))
+def _(t):
+    return _top(t, "drug_name")
+
+
 @add("st4_audit_without_repeats", ["audit"], "SELECT id, operation, user_id FROM audit")
 def _(t):
     once = t.view("audit", streaming=True).withColumn("timestamp", F.col("timestamp").cast("timestamp"))

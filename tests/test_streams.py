@@ -1,11 +1,12 @@
 """Streams that keep tables of their own, with many rows of one key in shuffled order."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from caselight.streaming import keyed, state
+from caselight.streaming import keyed, state, toplists
 from caselight.streaming.sinks import append_to, current, drain, finish, write_batches
 
 
@@ -123,3 +124,22 @@ def test_counts_include_open_windows_and_late_rows_are_counted(spark, tmp_path):
     got = {(r.window_start.minute, r.n) for r in current(written, ["window_start", "window_end", "event_type"]).collect()}
     assert got == {(0, 2)} and written.count() >= 2
     assert drain(spark, counted, "t", "update", ["window_start", "window_end", "event_type"]).agg(F.sum("n")).first()[0] == 4
+
+
+def test_top_values_per_window_equal_a_full_count(spark, tmp_path):
+    """A window with few common values and a long tail, one without any common value, one with fewer than k values."""
+    rng = random.Random(3)
+    tail = lambda: f"rare {rng.randrange(5000)}"
+    rows = [(100, rng.choice(["a", " b", "c ", "d", "e", "f", tail()]) if rng.random() < 0.7 else tail()) for _ in range(9000)]
+    rows += [(5000, tail()) for _ in range(6000)] + [(9000, rng.choice(["x", "y", " ", None])) for _ in range(50)] + [(None, "a")]
+    rng.shuffle(rows)
+    parts = [list(range(a, min(a + 4000, len(rows)))) for a in range(0, len(rows), 4000)]
+    stream = _files(spark, tmp_path, rows, "s long, value string", parts).select("value", F.timestamp_seconds("s").alias("at"))
+    finish(toplists.top_values_stream(stream, "at", "value", "1 hour", f"{tmp_path}/out", f"{tmp_path}/check"))
+    want = []
+    for w in (0, 3600, 7200):
+        counts = Counter(v.strip() for s, v in rows if s is not None and w <= s < w + 3600 and v and v.strip())
+        best = sorted(counts.items(), key=lambda c: (-c[1], c[0]))[:5]
+        want += [(w, i, v, n) for i, (v, n) in enumerate(best, 1)]
+    got = toplists.top_values_per_window(spark, f"{tmp_path}/out").collect()
+    assert sorted((int(r["window_start"].timestamp()), r["rank"], r["value"], r["n"]) for r in got) == want
