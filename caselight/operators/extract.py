@@ -1,7 +1,7 @@
 """Labelled fields from report text, and cases from line listings.
 
-Each field is one expression over the whole text, written as Spark SQL. A cheap substring test
-guards the regexes of a label, and ``coalesce`` stops at the first label that yields a value.
+One regex over all labels finds every labelled value of a text in a single pass. A field then looks its labels up in that
+list; ``coalesce`` stops at the first label that yields a value. All of it is Spark SQL in one projection.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from caselight.functions.presence import long_enough, strip
 from caselight.functions.quality import checked_quality, clean_text, is_binary_junk, text_confidence
-from caselight.functions.sql import SPACE as _SPACE, regex as _rx, strip as _strip
+from caselight.functions.sql import SPACE as _SPACE, quote, regex as _rx, strip as _strip
 from caselight.functions.text import code_to_bool, normalize_gender
 from caselight.schemas import (
     CASE_LABELS,
@@ -32,6 +32,8 @@ from caselight.schemas import (
 CASE_MARKER = r"(?:Case\s+ID|Case)\s*:?\s*([A-Z0-9\-]+)"
 _SENTINEL = "\ue0ff"
 _MARKER = CASE_MARKER.replace(r"\s", _SPACE)
+KNOWN_LABELS = [*DRUG_LABELS, *REPORTER_LABELS, *ONSET_LABELS, *REPORT_DATE_LABELS, *(x for f in REPORT_FIELDS.values() if f for x in f[0])]
+
 
 def _extract(text: str, pattern: str, flags: str = "di", group: int = 1) -> str:
     return f"regexp_extract({text}, {_rx(pattern, flags)}, {group})"
@@ -42,78 +44,95 @@ def _usable(value: str, test: str) -> str:
     return f"get(filter(array({value}), v -> {test}), 0)"
 
 
-def _layouts(text: str, label: str, whole_word: bool) -> list[str]:
-    """Values after a label in three layouts: separator, next line, dash.
 
-    A multi-line layout with the same separator always stops at the line end as well, so it
-    equals the first one.
+# ---------------------------------------------------------------- labels
+
+def _choice(words: set[str]) -> str:
+    """A regex for any of the words, the longest that fits first; words share the pattern of a common beginning."""
+    ways = [re.escape(c) + _choice({w[1:] for w in words if w[:1] == c}) for c in sorted({w[0] for w in words if w})]
+    if not ways:
+        return ""
+    one = ways[0] if len(ways) == 1 and "" not in words else f"(?:{'|'.join(ways)})"
+    return one + "?" if "" in words else one
+
+
+
+
+def _found_sql(text: str, labels: list[str], whole_word: bool) -> str:
+    """Every place of a label before a value, in order: the label in lower case, and the value in each layout it has there.
+
+    Layouts are a separator, the next line, and a dash. A place may have two of them, when the next line begins with a separator.
     """
-    name = (r"(?<![A-Za-z0-9_])" if whole_word else "") + re.escape(label)
-    tails = [r"\s*[:=]\s*([^\n]+)", r"\s*\n\s*([^\n]+)", r"\s*-\s*([^\n]+)"]
+    names = {label.lower() for label in labels}
+    sp = _SPACE
+    firsts = "".join(sorted({re.escape(c) for n in names for c in (n[0], n[0].upper())}))
+    bound = r"(?<![A-Za-z0-9_])" if whole_word else ""
+    # Every match is empty, so that a value is searched for labels, too.
+    place = rf"{bound}(?=[{firsts}])(?=({_choice(names)}(?:{sp}*+[:=\-]|{sp}*\n){sp}*[^\n]+))"
+    odd = "".join(re.escape(n) + "|" for n in sorted(names, key=len, reverse=True) if re.search("[:=-]", n))
+    rx = lambda pattern: f'r"(?di){pattern}"'
+    label = rx(rf"^({odd}[^:=\-\n]*?){sp}*[:=\-\n]")
+    after, below, sep = rx(rf"^{sp}*[:=\-]{sp}*([^\n]+)"), rx(rf"^{sp}*\n{sp}*([^\n]+)"), rx(rf"^{sp}*([:=\-])")
     tidy = _rx(r"\s+(?:and|or|a|the|with)\s+[A-Z][a-z]+\s*:")
-    return [
-        _strip(f"regexp_replace({_strip(_extract(text, name + tail, 'dim'))}, {tidy}, ' ')") for tail in tails
-    ]
 
+    def tidied(v: str) -> str:
+        return f"CASE WHEN contains({v}, ':') THEN {_strip(f'regexp_replace({_strip(v)}, {tidy}, {quote(chr(32))})')} ELSE {_strip(v)} END"
 
-def _field_sql(
-    text: str, lowered: str, labels: list[str], kind: str | None, min_chars: int, whole_word: bool, full_year: bool
-) -> str:
-    def guarded(label: str, value: str) -> str:
-        return f"CASE WHEN contains({lowered}, '{label.lower()}') THEN {value} END"
+    named = f"transform(regexp_extract_all({text}, {rx(place)}, 1), p -> named_struct('p', p, 'label', lower(regexp_extract(p, {label}, 1))))"
+    rest = f"transform({named}, p -> named_struct('label', p.label, 'r', substr(p.p, length(p.label) + 1)))"
+    cut = (
+        f"transform({rest}, p -> named_struct('label', p.label, 'sep', regexp_extract(p.r, {sep}, 1), 'after', regexp_extract(p.r, {after}, 1), "
+        f"'below', CASE WHEN contains(p.r, '\\n') THEN regexp_extract(p.r, {below}, 1) ELSE '' END))"
+    )
+    return (
+        f"transform({cut}, p -> named_struct('label', p.label, 'colon', CASE WHEN p.sep IN (':', '=') AND p.after <> '' THEN {tidied('p.after')} END, "
+        f"'below', CASE WHEN p.below <> '' THEN {tidied('p.below')} END, 'dash', CASE WHEN p.sep = '-' AND p.after <> '' THEN {tidied('p.after')} END))"
+    )
 
-    enough = f"length(v) >= {min_chars}"
+
+def with_labels(df: DataFrame, text: str = "text", whole_word: bool = False, labels: list[str] | None = None) -> DataFrame:
+    """The frame with what field expressions read: a lower-case copy of its text, ``_lowered``, its labelled values, ``_found``, and their ``_names``.
+
+    ``whole_word`` keeps labels from matching inside longer words. Without ``labels`` all known ones are looked for.
+    """
+    found = F.expr(_found_sql(f"`{text}`", labels or KNOWN_LABELS, whole_word))
+    out = df.withColumn("_lowered", F.lower(F.col(text))).withColumn("_found", found)
+    return out.withColumn("_names", F.array_distinct("_found.label"))
+
+
+def _field_sql(labels: list[str], kind: str | None, min_chars: int, full_year: bool) -> str:
+    listed = ", ".join(quote(label) for label in dict.fromkeys(label.lower() for label in labels))
+    present = f"array_intersect(array({listed}), _names)"
+    # A label's values, one for each layout it has somewhere in the text: the first place of each counts.
+    mine = "filter(_found, p -> p.label = l)"
+    firsts = ", ".join(f"get(filter(m, p -> p.{name} IS NOT NULL), 0).{name}" for name in ("colon", "below", "dash"))
+    usable = f"filter(get(transform(array({mine}), m -> array({firsts})), 0), v -> length(v) >= {min_chars})"
     if kind is None:
-        values = [
-            guarded(label, "coalesce(" + ", ".join(_usable(v, enough) for v in _layouts(text, label, whole_word)) + ")")
-            for label in labels
-        ]
-        return f"substring(coalesce({', '.join(values)}), 1, 500)"
+        return f"substring(get(filter(transform({present}, l -> get({usable}, 0)), v -> v IS NOT NULL), 0), 1, 500)"
 
     fmt = VALUE_FORMATS[kind]
     if kind == "date" and full_year:
         fmt = rf"(?:\d{{4}}-\d{{2}}-\d{{2}}|{fmt})"
     fmt = _rx(fmt)
+    typed = f"transform({usable}, v -> named_struct('hit', substring(v, 1, 500) rlike {fmt}, 'v', {_strip(f'regexp_extract(substring(v, 1, 500), {fmt}, 0)')}))"
+    # A match that is blank after trimming is no candidate at all. The first label with candidates is closed by a first one that misses.
+    candidates = f"filter(transform({present}, l -> filter({typed}, s -> NOT s.hit OR s.v <> '')), c -> size(c) > 0)"
+    return (
+        f"get(transform(array({candidates}), c -> CASE WHEN get(get(c, 0), 0).hit THEN get(get(c, 0), 0).v "
+        f"ELSE get(filter(flatten(slice(c, 2, {len(labels)})), s -> s.hit), 0).v END), 0)"
+    )
 
-    def candidates(label: str) -> str:
-        values = f"filter(array({', '.join(_layouts(text, label, whole_word))}), v -> {enough})"
-        typed = (
-            f"transform({values}, v -> named_struct('hit', substring(v, 1, 500) rlike {fmt}, "
-            f"'v', {_strip(f'regexp_extract(substring(v, 1, 500), {fmt}, 0)')}))"
-        )
-        # A match that is blank after trimming is no candidate at all.
-        return guarded(label, f"filter({typed}, s -> NOT s.hit OR s.v <> '')")
-
-    def rest(i: int) -> str:
-        """First match among the labels from i on."""
-        hits = [f"get(filter({candidates(label)}, s -> s.hit), 0).v" for label in labels[i:]]
-        return f"coalesce({', '.join(hits)})" if hits else "CAST(NULL AS STRING)"
-
-    def search(i: int) -> str:
-        """Labels from i on while nothing was found: a first miss closes its own label."""
-        if i == len(labels):
-            return "CAST(NULL AS STRING)"
-        return (
-            f"get(transform(array({candidates(labels[i])}), a{i} -> CASE WHEN coalesce(size(a{i}), 0) <= 0 THEN {search(i + 1)} "
-            f"WHEN a{i}[0].hit THEN a{i}[0].v ELSE {rest(i + 1)} END), 0)"
-        )
-
-    return search(0)
-
-
-def labelled_field(
-    text: str, lowered: str, labels: list[str], kind: str | None = None,
-    min_chars: int = 2, whole_word: bool = False, full_year: bool = False,
-) -> Column:
+
+def labelled_field(labels: list[str], kind: str | None = None, min_chars: int = 2, full_year: bool = False) -> Column:
     """Value of the first label that yields one; null when none does.
 
-    ``text`` and ``lowered`` name the text column and its lower-case copy. A typed field takes
-    the first value whose format matches. The very first value that does not match closes its
-    own label, so later layouts of that label are not looked at. ``whole_word`` keeps labels from
-    matching inside longer words and ``full_year`` keeps four-digit years whole.
+    It reads the columns of ``with_labels``. A typed field takes the first value whose format matches. The very first value that does not
+    match closes its own label, so later layouts of that label are not looked at. ``full_year`` keeps four-digit years whole.
     """
-    return F.expr(_field_sql(text, lowered, labels, kind, min_chars, whole_word, full_year))
+    return F.expr(_field_sql(labels, kind, min_chars, full_year))
+
 
+# ---------------------------------------------------------------- fields
 
 def drug_name(text: str, lowered: str, **options) -> Column:
     """Labels, else the first Drug-code or run of capitalised words, else a marked line's value."""
@@ -122,7 +141,7 @@ def drug_name(text: str, lowered: str, **options) -> Column:
     lines = F.filter(F.split(body, "\n"), lambda l: F.upper(l).rlike("DRUG|MEDICATION|SUSPECT"))
     values = F.transform(lines, lambda l: strip(F.regexp_extract(l, r"(?s)[:=\-](.*)$", 1)))
     marked = F.get(F.filter(values, lambda v: F.length(v).between(3, 99)), 0)
-    return F.coalesce(labelled_field(text, lowered, DRUG_LABELS, **options), F.nullif(run, F.lit("")), marked)
+    return F.coalesce(labelled_field(DRUG_LABELS, **options), F.nullif(run, F.lit("")), marked)
 
 
 def adverse_reaction(text: str, lowered: str) -> Column:
@@ -151,7 +170,7 @@ def reporter_name(text: str, lowered: str, **options) -> Column:
     ]
     test = "length(v) BETWEEN 3 AND 99 AND lower(v) NOT IN ('dr', 'mr', 'ms', 'prof', 'mrs')"
     named = ", ".join(_usable(_strip(_extract(text, p)), test) for p in patterns)
-    return F.coalesce(labelled_field(text, lowered, REPORTER_LABELS, **options), F.expr(f"coalesce({named})"))
+    return F.coalesce(labelled_field(REPORTER_LABELS, **options), F.expr(f"coalesce({named})"))
 
 
 def _context_date(text: str, lowered: str, labels: list[str], before: str, after: str, last: bool, **options) -> Column:
@@ -163,7 +182,7 @@ def _context_date(text: str, lowered: str, labels: list[str], before: str, after
     ]
     near = ", ".join(_usable(_extract(text, p), "v <> ''") for p in patterns)
     anywhere = f"try_element_at(regexp_extract_all({text}, {_rx(NUMERIC_DATE)}, 0), {-1 if last else 1})"
-    return F.coalesce(labelled_field(text, lowered, labels, "date", **options), F.expr(f"coalesce({near}, {anywhere})"))
+    return F.coalesce(labelled_field(labels, "date", **options), F.expr(f"coalesce({near}, {anywhere})"))
 
 
 def onset_date(text: str, lowered: str, **options) -> Column:
@@ -177,26 +196,20 @@ def report_date(text: str, lowered: str, **options) -> Column:
     )
 
 
-def with_lowered(df: DataFrame, text: str = "text") -> DataFrame:
-    """The frame with a lower-case copy of its text, which the label tests read."""
-    return df.withColumn("_lowered", F.lower(F.col(text)))
-
-
 def parse_reports(df: DataFrame, text: str = "text", short_fields_min_chars: int = 2, whole_word: bool = False, full_year: bool = False) -> DataFrame:
     """Add the thirty report fields; texts under 100 characters give none.
 
     ``short_fields_min_chars=1`` keeps one-character genders and ages.
     """
-    prepared = with_lowered(df, text)
-    low = "_lowered"
-    readable = long_enough(F.col(text), MIN_TEXT_CHARS)
-    plain = {"min_chars": 2, "whole_word": whole_word, "full_year": full_year}
+    readable = F.when(long_enough(F.col(text), MIN_TEXT_CHARS), F.col(text))
+    prepared = with_labels(df.withColumn("_text", readable), "_text", whole_word)
+    plain = {"min_chars": 2, "full_year": full_year}
     special = {
-        "drug_name": drug_name(text, low, **plain),
-        "adverse_reaction": adverse_reaction(text, low),
-        "onset_date": onset_date(text, low, **plain),
-        "reporter_name": reporter_name(text, low, **plain),
-        "report_date": report_date(text, low, **plain),
+        "drug_name": drug_name("_text", "_lowered", **plain),
+        "adverse_reaction": adverse_reaction("_text", "_lowered"),
+        "onset_date": onset_date("_text", "_lowered", **plain),
+        "reporter_name": reporter_name("_text", "_lowered", **plain),
+        "report_date": report_date("_text", "_lowered", **plain),
     }
 
     def value(name: str) -> Column:
@@ -204,10 +217,10 @@ def parse_reports(df: DataFrame, text: str = "text", short_fields_min_chars: int
             return special[name]
         labels, kind = REPORT_FIELDS[name]
         short = name in ("patient_gender", "patient_age")
-        return labelled_field(text, low, labels, kind, **(plain | {"min_chars": short_fields_min_chars if short else 2}))
+        return labelled_field(labels, kind, **(plain | {"min_chars": short_fields_min_chars if short else 2}))
 
-    fields = {name: F.when(readable, F.nullif(value(name), F.lit(""))) for name in REPORT_FIELDS}
-    return prepared.withColumns(fields).drop(low)
+    fields = {name: F.nullif(value(name), F.lit("")) for name in REPORT_FIELDS}
+    return prepared.withColumns(fields).drop("_text", "_lowered", "_found", "_names")
 
 
 def split_cases(df: DataFrame, text: str = "text") -> DataFrame:
@@ -215,8 +228,12 @@ def split_cases(df: DataFrame, text: str = "text") -> DataFrame:
 
     The text before the first marker is dropped. ``pos`` counts from 0 inside a document.
     """
-    marked = F.regexp_replace(F.col(text), f"(?di)({_MARKER})", f"{_SENTINEL}$1")
-    blocks = F.split(marked, _SENTINEL)
+    # A sentinel that the text itself holds is told apart by what follows it.
+    held = F.col(text).contains(_SENTINEL)
+    own = F.when(held, F.replace(F.col(text), F.lit(_SENTINEL), F.lit(_SENTINEL + "0"))).otherwise(F.col(text))
+    marked = F.regexp_replace(own, f"(?di)({_MARKER})", f"{_SENTINEL}1$1")
+    blocks = F.split(marked, _SENTINEL + "1")
+    blocks = F.when(held, F.transform(blocks, lambda b: F.replace(b, F.lit(_SENTINEL + "0"), F.lit(_SENTINEL)))).otherwise(blocks)
     rest = F.slice(blocks, 2, F.greatest(F.size(blocks) - 1, F.lit(0)))
     # Short texts give no blocks. Said inside the generator, a text computed upstream is not
     # computed a second time for a pushed-down filter.
@@ -233,15 +250,13 @@ def _let(value: Column, use) -> Column:
 def _case_pairs(block: str) -> Column:
     """(field, value) of every ``name: value`` line whose name holds a known label.
 
-    The first listed label contained in the name decides. Each line's name is cleaned once, in a
-    step of its own, before the labels are tried on it.
+    The first listed label contained in the name decides. White space around a name cannot hide a label, so only values of known fields are stripped.
     """
-    lines = f"filter(transform(split({block}, '\\n'), l -> {_strip('l')}), l -> contains(l, ':'))"
-    name, value = _strip("substring_index(l, ':', 1)"), _strip("substr(l, instr(l, ':') + 1)")
-    parts = f"transform({lines}, l -> named_struct('name', lower({name}), 'value', {value}))"
-    whens = " ".join(f"WHEN contains(p.name, '{label}') THEN '{target}'" for label, target in CASE_LABELS)
-    named = f"transform({parts}, p -> named_struct('field', CASE {whens} END, 'value', p.value))"
-    return F.expr(f"filter({named}, p -> p.field IS NOT NULL)")
+    lines = f"filter(split({block}, '\\n'), l -> contains(l, ':'))"
+    whens = " ".join(f"WHEN contains(n, '{label}') THEN '{target}'" for label, target in CASE_LABELS)
+    named = f"transform({lines}, l -> named_struct('field', get(transform(array(lower(substring_index(l, ':', 1))), n -> CASE {whens} END), 0), 'line', l))"
+    value = _strip("substr(p.line, instr(p.line, ':') + 1)")
+    return F.expr(f"transform(filter({named}, p -> p.field IS NOT NULL), p -> named_struct('field', p.field, 'value', {value}))")
 
 
 def parse_cases(df: DataFrame, text: str = "text", min_fields: int = 8) -> DataFrame:

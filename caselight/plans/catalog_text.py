@@ -239,18 +239,17 @@ def _(t):
 SELECT doc_id, {field_sql(["Expiration Date", "Expiry Date", "Exp Date"], "date")} AS expiration_date, {field_sql(["Patient Age", "Age"], "age")} AS patient_age,
   {field_sql(["Route", "Route of Administration"], None)} AS route FROM reports""")
 def _(t):
-    text, low = "text", "_lowered"
-    return X.with_lowered(t.view("reports", wide=True)).select(
-        "doc_id", X.labelled_field(text, low, ["Expiration Date", "Expiry Date", "Exp Date"], "date").alias("expiration_date"),
-        X.labelled_field(text, low, ["Patient Age", "Age"], "age").alias("patient_age"),
-        X.labelled_field(text, low, ["Route", "Route of Administration"]).alias("route"),
+    return X.with_labels(t.view("reports", wide=True)).select(
+        "doc_id", X.labelled_field(["Expiration Date", "Expiry Date", "Exp Date"], "date").alias("expiration_date"),
+        X.labelled_field(["Patient Age", "Age"], "age").alias("patient_age"),
+        X.labelled_field(["Route", "Route of Administration"]).alias("route"),
     )
 
 
 def _one(name: str, column: str, build):
     @add(name, ["reports"], f"SELECT doc_id, {_SPECIAL[column]} AS {column} FROM reports")
     def _(t):
-        return X.with_lowered(t.view("reports", wide=True)).select("doc_id", build("text", "_lowered").alias(column))
+        return X.with_labels(t.view("reports", wide=True)).select("doc_id", build("text", "_lowered").alias(column))
 
 
 _one("x11_drug_names", "drug_name", X.drug_name)

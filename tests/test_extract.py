@@ -93,12 +93,12 @@ def test_layouts_and_label_inside_word(spark):
 
 
 def test_first_miss_closes_its_label(spark):
-    df = X.with_lowered(docs(spark, "Date Started: soon\nDate Started - 01-02-2026\n", "Date Started: soon\nStarted - 01-02-2026\n"))
+    df = X.with_labels(docs(spark, "Date Started: soon\nDate Started - 01-02-2026\n", "Date Started: soon\nStarted - 01-02-2026\n"))
     labels = ["Date Started", "Started"]
-    got = [r[0] for r in df.select(X.labelled_field("text", "_lowered", labels, "date")).collect()]
+    got = [r[0] for r in df.select(X.labelled_field(labels, "date")).collect()]
     # The label inside the other label still finds the second line through its own search.
     assert got[1] == "01-02-2026"
-    single = df.select(X.labelled_field("text", "_lowered", ["Date Started"], "date")).collect()
+    single = df.select(X.labelled_field(["Date Started"], "date")).collect()
     assert single[0][0] is None
 
 
@@ -128,3 +128,24 @@ def test_page_rollup(spark):
     r = X.roll_up_pages(spark.createDataFrame(rows, "doc_id string, page_no int, text string")).first()
     assert r.text == "first page text\nsecond page text\n"
     assert (r.pages_extracted, r.total_pages) == (2, 3)
+
+
+def test_listing_that_holds_the_sentinel_itself(spark):
+    mark = X._SENTINEL
+    text = LISTING.replace("Severe headache", f"Severe{mark}headache{mark}1 and {mark}0{mark}") + mark
+    blocks = [r["block"] for r in X.split_cases(docs(spark, text)).orderBy("pos").collect()]
+    assert len(blocks) == 3 and "".join(blocks) == text[text.index("Case ID"):]
+    assert X.parse_cases(docs(spark, text)).first().adverse_event_term == f"Severe{mark}headache{mark}1 and {mark}0{mark}"
+
+
+def test_labels_inside_values_words_and_lines(spark):
+    text = "Drug Name: Aspirin Dose: 5 mg - Age = 7\nDosage\n\n  : 9 mg\nCo-medications - none\nFrequency:\nSeverity\nhigh\nID:   \n" + "x" * 90
+    df = X.with_labels(docs(spark, text))
+    found = [(f["label"], f["colon"], f["below"], f["dash"]) for f in df.first()["_found"]]
+    assert found == [
+        ("drug name", "Aspirin Dose: 5 mg - Age = 7", None, None), ("dose", "5 mg - Age = 7", None, None), ("age", "7", None, None),
+        ("dosage", "9 mg", ": 9 mg", None), ("age", "9 mg", ": 9 mg", None), ("co-medications", None, None, "none"),
+        ("frequency", "Severity", None, None), ("severity", None, "high", None), ("id", "x" * 90, None, None),
+    ]
+    whole = X.with_labels(docs(spark, text), whole_word=True).first()["_found"]
+    assert [f["label"] for f in whole] == ["drug name", "dose", "age", "dosage", "co-medications", "frequency", "severity", "id"]
