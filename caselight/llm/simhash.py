@@ -8,6 +8,7 @@ repeated minimum steps over the links.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations, repeat
 
 import numpy as np
@@ -267,12 +268,12 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 # ---------------------------------------------------------------- components
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, stage: Callable[[DataFrame], DataFrame] = stage) -> DataFrame:
     """(fp, root): the smallest node reachable, for every node of the edges (a, b).
 
     Alternates two steps until nothing changes: each node links its larger neighbours to the smallest of its
     neighbourhood, then its smaller ones. Both reduce neighbourhoods to their minimum before joining, so no
-    neighbourhood is gathered; each round is a written table.
+    neighbourhood is gathered; each round is a written table, which ``stage`` writes.
     """
     edges = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
     seen = None
