@@ -52,3 +52,20 @@ def stage(df: DataFrame) -> DataFrame:
     path = new_folder(df.sparkSession, "stage") + "/rows"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Staged tables of one job, in one folder that goes with ``drop`` once nothing reads them any more, or else when the session ends."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder, self.count = spark, new_folder(spark, "scratch"), 0
+
+    def stage(self, df: DataFrame) -> DataFrame:
+        self.count += 1
+        path = f"{self.folder}/{self.count}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
