@@ -7,7 +7,6 @@ reduced to lower-case words, is compressed with each dictionary, in blocks, and
 from __future__ import annotations
 
 import hashlib
-import re
 from collections import Counter
 
 import numpy as np
@@ -29,7 +28,6 @@ MARGIN = 0.002
 SHARPNESS = 60.0
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
 #: Keeps ASCII letters and all bytes of other characters; the rest becomes a space.
 _WORDS = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 #: Ends each dictionary and each block: its one long match makes a short block worth compressing, so that sizes differ.
@@ -84,7 +82,7 @@ def compressors(model: dict[str, bytes]):
 
 def classify(text: str | None, names: list[str], tools: list, margin: float = MARGIN) -> tuple[str, float, float, bool]:
     """Language, score, margin and acceptance of one text."""
-    if not text or not tools or not _LETTER.search(text):
+    if not text or not tools or not any(map(str.isalpha, text)):
         return UNKNOWN, 0.0, 0.0, False
     raw = reduced(text)
     blocks = [raw[i : i + BLOCK] + _TAIL for i in range(0, len(raw), BLOCK)]
@@ -98,7 +96,7 @@ def classify(text: str | None, names: list[str], tools: list, margin: float = MA
 def identify(docs: DataFrame, model: dict[str, bytes], text: str = "text", column: str = "language", margin: float = MARGIN) -> DataFrame:
     """Add a struct ``column`` with lang, score (0 to 1), margin and accepted.
 
-    Every whole text is compressed, in blocks, with every dictionary. Texts that are null, empty or without a letter
+    Every whole text is compressed, in blocks, with every dictionary. Texts that are null, empty or without a letter (Unicode category L)
     get ``und``, score 0 and are not accepted; so does every text if nothing was learned. Ties between languages go
     to the first in alphabetical order and, as their margin is 0, are not accepted. Other columns stay as they are; a column
     named like ``column`` is replaced.

@@ -24,8 +24,8 @@ from caselight.sources.staging import stage
 CAPACITY, END = 1024, 2
 #: Nodes the branch-and-bound may open beyond the first descent, and fillings it tries at each.
 NODES, WIDTH = 300, 3
-#: Sums that are looked at for further fillings of one bin, the fullest first, once there is one.
-LOOKS = 4
+#: Sums that are looked at for further fillings of one bin, the fullest first, once there is one, and runs of lengths tried for a sum.
+LOOKS, TRIES = 4, 8
 #: Run of white space from which on the tokenizer file is used; tiktoken's regex gives up on a run of about a million.
 BLANKS = 100_000
 _BLANK_RUN = re.compile(rf"(?<!\s)\s{{{BLANKS}}}")
@@ -34,7 +34,7 @@ _BLANK_RUN = re.compile(rf"(?<!\s)\s{{{BLANKS}}}")
 # ---------------------------------------------------------------- pieces
 
 def tokenizer(path: str):
-    """Byte-level BPE from a rank file; its ids equal those of the tokenizer file with the same vocabulary."""
+    """Byte-level BPE from a rank file; on texts without an added token its ids equal those of the tokenizer file with the same vocabulary."""
     import base64
 
     import public_tokenizers
@@ -46,22 +46,25 @@ def tokenizer(path: str):
 
 
 def tokenizer_file(path: str):
-    """The tokenizer file beside a rank file, slower but without a limit to runs of white space."""
+    """The tokenizer file beside a rank file, with its default settings: slower, but it knows added tokens and has no limit to runs of white space."""
     from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(path.removesuffix(".tiktoken") + ".json")
-    whole.encode_special_tokens = True
-    return whole
+    return Tokenizer.from_file(path.removesuffix(".tiktoken") + ".json")
 
 
 def encoder(path: str):
-    """Function from a text to its ids, however long its runs of white space are."""
+    """Function from a text to the ids that the tokenizer file gives it.
+
+    Texts that hold an added token, which the file takes as one id, and texts with a very long run of white space go to the file itself.
+    """
+    whole = tokenizer_file(path)
+    added = re.compile("|".join(re.escape(t.content) for t in whole.get_added_tokens_decoder().values()) or r"(?!)")
     quick = tokenizer(path).encode_ordinary
 
     def encode(text: str) -> list[int]:
-        if len(text) < BLANKS or not _BLANK_RUN.search(text):
-            return quick(text)
-        return cached(("tokenizer file", path), lambda: tokenizer_file(path)).encode(text, add_special_tokens=False).ids
+        if added.search(text) or len(text) >= BLANKS and _BLANK_RUN.search(text):
+            return whole.encode(text, add_special_tokens=False).ids
+        return quick(text)
 
     return encode
 
@@ -194,7 +197,7 @@ def fillings(room: int, counts: dict[int, int], lengths: list[int], reach: list[
                 if valid(f) and not any(dominated(f, g) for g in found):
                     found.append(f)
                     break
-                if tries >= 8:
+                if tries >= TRIES:
                     break
             if len(found) >= width:
                 break

@@ -1,5 +1,8 @@
 """Language identification: held-out accuracy and odd rows."""
 
+from collections import Counter
+
+import pytest
 from pyspark.sql import functions as F
 
 from caselight.llm import langid
@@ -42,3 +45,10 @@ def test_one_language(spark):
     df = spark.createDataFrame([(1, "some words", "en")], "doc_id long, text string, lang string")
     row = langid.identify(df, langid.learn(df)).first()["language"]
     assert (row["lang"], row["score"], row["accepted"]) == ("en", 1.0, True)
+
+
+@pytest.mark.parametrize("text", [None, "", " \n", "²", "½ 12", "Ⅷ", "①", "_ 1 .", "\u0301", "１２"])
+def test_texts_without_a_letter_are_undetermined(text):
+    model = {"en": langid.dictionary(Counter(["the", "and"] * 50)), "fr": langid.dictionary(Counter(["les", "des"] * 50))}
+    assert langid.classify(text, list(model), langid.compressors(model)) == ("und", 0.0, 0.0, False)
+    assert langid.classify("ª the", list(model), langid.compressors(model))[0] == "en"
