@@ -49,6 +49,6 @@ def test_one_language(spark):
 
 @pytest.mark.parametrize("text", [None, "", " \n", "²", "½ 12", "Ⅷ", "①", "_ 1 .", "\u0301", "１２"])
 def test_texts_without_a_letter_are_undetermined(text):
-    model = {"en": langid.dictionary(Counter(["the", "and"] * 50)), "fr": langid.dictionary(Counter(["les", "des"] * 50))}
+    model = {"en": langid.dictionary(Counter([b"the", b"and"] * 50)), "fr": langid.dictionary(Counter([b"les", b"des"] * 50))}
     assert langid.classify(text, list(model), langid.compressors(model)) == ("und", 0.0, 0.0, False)
     assert langid.classify("ª the", list(model), langid.compressors(model))[0] == "en"
