@@ -84,6 +84,21 @@ def top_values(df: DataFrame, column: str, k: int = 5) -> DataFrame:
     )
 
 
+def grouped_totals(submissions: DataFrame, groups: dict[str, Column], sets: list[list[str]] | None = None) -> DataFrame:
+    """Submissions, passed ones and the pass rate per combination of groups, with totals, in one aggregation.
+
+    ``groups`` names the grouping expressions. Without ``sets`` all prefixes are totalled, as a roll-up does; ``level`` has a bit for each
+    group that a row does not tell apart, the first group's bit highest, so that totals are told from groups without a value.
+    """
+    names = list(groups)
+    wanted = sets if sets is not None else [names[:i] for i in range(len(names), -1, -1)]
+    rows = submissions.select(*[c.alias(n) for n, c in groups.items()], F.col("status").isin(PASSED_STATUSES).alias("_passed"))
+    passed = F.count_if("_passed")
+    return rows.groupingSets([[F.col(n) for n in s] for s in wanted], *[F.col(n) for n in names]).agg(
+        F.grouping_id(*names).cast("long").alias("level"), F.count(F.lit(1)).alias("n"), passed.alias("passed"), percent(passed, F.count(F.lit(1))).alias("pass_rate"),
+    )
+
+
 def form_type_distribution(submissions: DataFrame, *more: str) -> DataFrame:
     """Count per submission type, null or empty as Unknown; further grouping columns optional."""
     kind = default_if_blank(F.col("submission_type"), "Unknown").alias("submission_type")

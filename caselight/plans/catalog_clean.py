@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import Column, functions as F
 
+from caselight.functions.registered import register
 from caselight.functions import dates, text
 from caselight.operators import causality as N
 from caselight.operators import clean as P
@@ -557,6 +558,15 @@ def _(t):
     return out.withColumn("reasoning_md5", F.md5("reasoning")).drop("narrative", "reasoning", "previous_literature")
 
 
+@add("n1_sql_functions", ["narratives"], f"""
+SELECT id, total_score, probability, CASE WHEN total_score >= 9 THEN 'CRITICAL' WHEN total_score >= 5 THEN 'HIGH' WHEN total_score >= 1 THEN 'MEDIUM' ELSE 'LOW' END AS priority FROM ({_SCORED})""")
+def _(t):
+    register(t.spark)
+    return t.spark.sql("""
+        SELECT id, total_score, causality_probability(total_score) AS probability, priority_level(total_score) AS priority
+        FROM (SELECT id, narrative_score(narrative) AS total_score FROM {narratives})""", narratives=t.view("narratives", wide=True))
+
+
 @add("n2_score_factors", ["factors"], """
 WITH s AS (SELECT id, greatest(0, least(13, CASE WHEN days BETWEEN 2 AND 4 THEN 2 WHEN days BETWEEN 5 AND 30 THEN 1 WHEN days > 90 THEN -1 ELSE 0 END
   + coalesce(dose_correlated, FALSE)::INT + known_reaction::INT + 2 * coalesce(resolved, FALSE)::INT + 2 * recurred::INT - alternative::INT)) AS total_score FROM factors)

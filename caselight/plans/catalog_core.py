@@ -12,6 +12,7 @@ from caselight.operators.ordering import write_order_index
 from caselight.plans.registry import CATALOG
 from caselight.schemas import OUTCOME_BUCKETS, SEVERITY_BUCKETS, TABLE_STATUSES
 from caselight.sources import changes, documents, sinks
+from caselight.sources.staging import new_folder
 
 add = CATALOG.add
 AS_OF = dt.datetime(1998, 6, 30)
@@ -92,6 +93,30 @@ def _(t):
     return A.form_type_distribution(t.view("submissions"))
 
 
+_KIND = "CASE WHEN submission_type <> '' THEN submission_type ELSE 'Unknown' END"
+
+
+def _totals_sql(sets: str) -> str:
+    return f"""
+SELECT kind, month, grouping_id(kind, month) AS level, count(*) AS n, count(*) FILTER ({_PASSED}) AS passed, round(count(*) FILTER ({_PASSED}) / count(*) * 100, 2) AS pass_rate
+FROM (SELECT *, {_KIND} AS kind, strftime(created_at, '%Y-%m') AS month FROM submissions) GROUP BY {sets}"""
+
+
+def _totals(t, sets=None):
+    groups = {"kind": A.default_if_blank(F.col("submission_type"), "Unknown"), "month": F.date_format("created_at", "yyyy-MM")}
+    return A.grouped_totals(t.view("submissions"), groups, sets)
+
+
+@add("a4_types_by_month", ["submissions"], _totals_sql("ROLLUP (kind, month)"))
+def _(t):
+    return _totals(t)
+
+
+@add("a1_grouping_sets", ["submissions"], _totals_sql("GROUPING SETS ((kind, month), (kind), (month), ())"))
+def _(t):
+    return _totals(t, [["kind", "month"], ["kind"], ["month"], []])
+
+
 @add("a5_export_statistics", ["submissions"], """
 SELECT count(*) AS total_submissions, count(*) FILTER (status = 'PASSED') AS passed_submissions,
   round(count(*) FILTER (status = 'PASSED') / count(*) * 100, 2) AS pass_rate FROM submissions""")
@@ -482,6 +507,21 @@ def _(t):
     return sinks.result_rows(subs, "Status Check", status, ["severity", "drug_name"])
 
 
+@add("s7_results_written_again", ["submissions"], """
+SELECT run, check_type, status, count(*) AS n FROM (SELECT 'first' AS run, 'Status Check' AS check_type, CASE WHEN status = 'failed' THEN 'FAIL' ELSE 'PASS' END AS status FROM submissions
+  UNION ALL SELECT 'second', CASE WHEN severity = 'Mild' THEN 'Severity / mild' ELSE 'Severity' END, 'PASS' FROM submissions WHERE status = 'failed') GROUP BY ALL""")
+def _(t):
+    subs, base = t.view("submissions"), new_folder(t.spark, "s7")
+    status = F.when(F.col("status") == "failed", "FAIL").otherwise("PASS")
+    first = sinks.result_rows(subs, "Status Check", status, ["severity"])
+    second = sinks.result_rows(subs.filter(F.col("status") == "failed"), "Severity", F.lit("PASS"), ["severity"])
+    mild = F.get_json_object("result", "$.severity") == "Mild"
+    second = second.withColumn("check_type", F.when(mild, "Severity / mild").otherwise(F.col("check_type")))
+    for rows, run in ((first, "first"), (second.filter(F.col("check_type") == "Severity"), "second"), (second, "second"), (first, "first")):
+        sinks.write_results(rows, base, run)
+    return sinks.read_results(t.spark, base).groupBy("run", "check_type", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
 @add("s8_audit_entries", ["submissions"], """
 WITH e AS (SELECT 'UPLOAD_SUBMISSION' AS operation, submitted_by AS user_id, id AS resource,
   '{"outcome":"' || coalesce(outcome, '') || '","drug_name":"' || drug_name || '"}' AS details FROM submissions)
@@ -497,21 +537,33 @@ def _(t):
 _NEW = "CASE WHEN o_orderkey % 5 = 0 THEN 'approved' ELSE o_orderstatus END"
 
 
-@add("s9_snapshot_changes", [], f"""
+_CHANGES = f"""
 WITH old AS (SELECT o_orderkey::VARCHAR AS id, o_orderstatus AS status, o_custkey AS owner FROM orders),
 new AS (SELECT CASE WHEN o_orderkey % 11 = 0 THEN 'new-' ELSE '' END || o_orderkey::VARCHAR AS id, {_NEW} AS status, o_custkey AS owner FROM orders)
 SELECT CASE WHEN o.id IS NULL THEN 'INSERT' WHEN n.id IS NULL THEN 'DELETE' ELSE 'UPDATE' END AS action, 'submissions' AS entity_type,
   coalesce(o.id, n.id) AS entity_id,
   '{{"id":"' || o.id || '","status":"' || o.status || '","owner":' || o.owner || '}}' AS old_data,
   '{{"id":"' || n.id || '","status":"' || n.status || '","owner":' || n.owner || '}}' AS new_data, 'SUCCESS' AS status
-FROM old o FULL JOIN new n ON o.id = n.id WHERE o.id IS NULL OR n.id IS NULL OR o.status <> n.status OR o.owner <> n.owner""")
-def _(t):
+FROM old o FULL JOIN new n ON o.id = n.id WHERE o.id IS NULL OR n.id IS NULL OR o.status <> n.status OR o.owner <> n.owner"""
+
+
+def _snapshots(t):
     key = F.col("o_orderkey")
     base = t.table("orders").select(key, key.cast("string").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("owner"))
     old = base.select("id", "status", "owner")
     renamed = F.concat(F.when(key % 11 == 0, "new-").otherwise(""), "id").alias("id")  # a renamed key is deleted and inserted
     new = base.select(renamed, F.when(key % 5 == 0, "approved").otherwise(F.col("status")).alias("status"), "owner")
-    return changes.snapshot_changes(old, new, "submissions", AS_OF).drop("changed_at")
+    return old, new
+
+
+@add("s9_snapshot_changes", [], _CHANGES)
+def _(t):
+    return changes.snapshot_changes(*_snapshots(t), "submissions", AS_OF).drop("changed_at")
+
+
+@add("s9_range_changes", [], _CHANGES)
+def _(t):
+    return changes.range_changes(*_snapshots(t), "submissions", AS_OF).drop("changed_at")
 
 
 @add("s10_export_sections", ["submissions", "results"], f"""

@@ -18,13 +18,14 @@ from caselight.operators.privacy import PII_PATTERNS
 from caselight.operators.rules import check_cases, check_reports
 from caselight.plans import catalog_clean as CC
 from caselight.plans.catalog_clean import _flat_reports, adr_sql, ambiguous_sql, clean_text_sql, normal_date_sql
-from caselight.plans.catalog_core import _ISSUES, _ROLLUP, member
+from caselight.plans.catalog_core import _ISSUES, _ROLLUP, member, trimmed
 from caselight.plans.catalog_text import _report_column
 from caselight.plans.registry import CATALOG
 from caselight.schemas import DATE_FIELDS, FRAMEWORK_NAMES, PROCESSING_STAGES, REPORT_FIELDS, TEXT_FIELDS
 from caselight.sources import changes
 from caselight.sources.staging import new_folder, stage
 from caselight.streaming import state
+from caselight.streaming.intake import landed_uploads, parsed_uploads
 from caselight.streaming.sinks import drain, finish
 from caselight.streaming.toplists import top_values_per_window, top_values_stream
 
@@ -420,6 +421,25 @@ def _(t):
     return drain(t.spark, _flat_reports(checked), "st1")
 
 
+_LANDED = ["patient_id", "patient_age", "outcome", "severity", "report_date"]
+
+
+@add("st1_landed_files", [], f"""
+WITH f AS (SELECT doc_id, coalesce(text, '') AS text, CASE WHEN doc_id % 9 = 0 THEN 'exe' ELSE 'doc' END AS extension FROM documents),
+once AS (SELECT text, extension FROM f GROUP BY ALL)
+SELECT extension, CASE WHEN extension = 'exe' THEN 'File extension not allowed: exe' END AS reason, CASE WHEN length({trimmed("text")}) >= 100 THEN 'SUCCESS' ELSE 'EXTRACTION_FAILED' END AS status, md5(text) AS text_md5,
+  {", ".join(_report_column(n) for n in _LANDED)} FROM once""")
+def _(t):
+    kind = F.when(F.col("doc_id") % 9 == 0, "exe").otherwise("doc")
+    texts = t.table("documents").select(F.coalesce("text", F.lit("")).alias("text"), kind.alias("extension"), F.concat(F.lit("upload_"), F.col("doc_id"), F.lit("."), kind).alias("name"))
+    base = new_folder(t.spark, "st1f")
+    for again in ("landing", "landing/again"):  # every file is uploaded twice
+        texts.select("text", "name").write.partitionBy("name").text(f"{base}/{again}")
+    found = parsed_uploads(landed_uploads(t.spark, f"{base}/landing", by=["extension"]))
+    out = drain(t.spark, found.select("extension", "reason", "status", F.md5("text").alias("text_md5"), *_LANDED), "st1f")
+    return out
+
+
 @add("st1_streamed_cases", ["cases"], f"SELECT doc_id, valid, data_quality_score, array_to_string(errors, '|') AS errors FROM ({CC.CHECKED_CASES})")
 def _(t):
     checked = check_cases(t.view("cases", streaming=True))
@@ -518,15 +538,16 @@ def _(t):
 
 
 @add("s9_streamed_changes", [], f"""
-WITH new AS (SELECT o_orderkey::VARCHAR AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'approved' ELSE o_orderstatus END AS status FROM orders)
-SELECT CASE WHEN n.status IS DISTINCT FROM o.o_orderstatus THEN 'UPDATE' END AS action, 'submissions' AS entity_type, n.id AS entity_id,
-  '{{"id":"' || n.id || '","status":"' || o.o_orderstatus || '"}}' AS old_data, '{{"id":"' || n.id || '","status":"' || n.status || '"}}' AS new_data
-FROM new n JOIN orders o ON o.o_orderkey::VARCHAR = n.id WHERE n.status <> o.o_orderstatus""")
+WITH new AS (SELECT o_orderkey::VARCHAR AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'approved' ELSE o_orderstatus END AS status, o_orderkey % 7 = 0 AS gone FROM orders)
+SELECT CASE WHEN n.gone THEN 'DELETE' ELSE 'UPDATE' END AS action, 'submissions' AS entity_type, n.id AS entity_id,
+  '{{"id":"' || n.id || '","status":"' || o.o_orderstatus || '"}}' AS old_data, CASE WHEN NOT n.gone THEN '{{"id":"' || n.id || '","status":"' || n.status || '"}}' END AS new_data
+FROM new n JOIN orders o ON o.o_orderkey::VARCHAR = n.id WHERE n.gone OR n.status <> o.o_orderstatus""")
 def _(t):
     old = t.table("orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderstatus").alias("status"))
     arriving = t.stream("orders").select(
-        F.col("o_orderkey").cast("string").alias("id"), F.when(F.col("o_orderkey") % 5 == 0, "approved").otherwise(F.col("o_orderstatus")).alias("status")
+        F.col("o_orderkey").cast("string").alias("id"), F.when(F.col("o_orderkey") % 5 == 0, "approved").otherwise(F.col("o_orderstatus")).alias("status"),
+        (F.col("o_orderkey") % 7 == 0).alias("gone"),
     )
     base = new_folder(t.spark, "s9")
-    finish(changes.streamed_changes(old, arriving, "submissions", f"{base}/out", f"{base}/state"))
+    finish(changes.streamed_changes(old, arriving, "submissions", f"{base}/out", f"{base}/state", tombstone="gone"))
     return t.spark.read.parquet(f"{base}/out/batch=*").select("action", "entity_type", "entity_id", "old_data", "new_data")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
+import uuid
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from caselight.functions.presence import default_if_blank
 from caselight.operators.analytics import export_statistics, result_distribution
@@ -20,9 +22,41 @@ def result_rows(df: DataFrame, check_type: str, status: Column, payload: list[st
     )
 
 
-def write_results(results: DataFrame, path: str) -> None:
-    """Append results, one folder per check type, so a later check filter prunes folders."""
-    results.write.mode("append").partitionBy("check_type").parquet(path)
+def write_results(results: DataFrame, path: str, run: str) -> None:
+    """Write the results of one run, in place of what the same run wrote before.
+
+    Rows go to a folder of this attempt, one folder per check type below it, and an entry of the ledger then names the attempt as the run's. A
+    job that is retried, or fails half-way, so leaves the rows of one attempt. ``drop_superseded`` deletes the others.
+    """
+    attempt = uuid.uuid4().hex
+    parts = results.withColumns({"run": F.lit(run), "attempt": F.lit(attempt)})
+    parts.write.mode("append").partitionBy("run", "attempt", "check_type").parquet(f"{path}/rows")
+    entry = results.sparkSession.createDataFrame([(run, attempt)], "run string, attempt string")
+    entry.coalesce(1).write.mode("overwrite").parquet(f"{path}/ledger/of={hashlib.sha256(run.encode()).hexdigest()}")
+
+
+def _ledger(spark: SparkSession, path: str) -> list:
+    """The attempt that counts of every run; a row per run."""
+    return spark.read.schema("run string, attempt string").parquet(f"{path}/ledger/of=*").collect()
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """Results of all runs that ended, each once, with their run; filters on run and check type prune folders."""
+    kept = [r["attempt"] for r in _ledger(spark, path)]
+    rows = spark.read.option("basePath", f"{path}/rows").parquet(f"{path}/rows")
+    return rows.filter(F.col("attempt").isin(kept)).drop("attempt")
+
+
+def drop_superseded(spark: SparkSession, path: str) -> int:
+    """Delete the attempts that the ledger does not name, and return their number; not while a run is being written."""
+    kept = {r["attempt"] for r in _ledger(spark, path)}
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    files = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = files.globStatus(place(f"{path}/rows/run=*/attempt=*"))
+    gone = [f.getPath() for f in found if f.getPath().getName().removeprefix("attempt=") not in kept]
+    for folder in gone:
+        files.delete(folder, True)
+    return len(gone)
 
 
 def audit_entries(df: DataFrame, operation: str, user: Column, resource: Column, details: Column, at: dt.datetime | Column, hashed: bool = False) -> DataFrame:

@@ -37,10 +37,17 @@ def test_json_records(spark, tmp_path):
 def test_result_and_audit_sinks(spark, tmp_path):
     df = spark.createDataFrame([("1", "failed"), ("2", "completed")], "id string, status string")
     rows = sinks.result_rows(df, "Status Check", F.col("status"), ["status"])
-    sinks.write_results(rows, str(tmp_path / "res"))
-    sinks.write_results(rows, str(tmp_path / "res"))
-    back = spark.read.parquet(str(tmp_path / "res"))
-    assert back.count() == 4 and back.filter("check_type = 'Status Check'").count() == 4
+    path = str(tmp_path / "res")
+    other = sinks.result_rows(df, "Form 44", F.col("status"), ["status"])
+    for part, run in ((rows, "a/1"), (rows.unionByName(other), "a/1"), (rows, "b"), (rows, "a/1")):
+        sinks.write_results(part, path, run)
+    rows.withColumns({"run": F.lit("c"), "attempt": F.lit("cut off")}).write.partitionBy("run", "attempt", "check_type").mode("append").parquet(f"{path}/rows")
+    back = sinks.read_results(spark, path)
+    counts = lambda: {(r["run"], r["check_type"]): r["count"] for r in sinks.read_results(spark, path).groupBy("run", "check_type").count().collect()}
+    assert counts() == {("a/1", "Status Check"): 2, ("b", "Status Check"): 2} and back.filter("check_type = 'Form 44'").count() == 0
+    plan = back.filter("check_type = 'Form 44'")._jdf.queryExecution().executedPlan().toString()
+    assert "check_type" in plan.split("PartitionFilters:")[1].split("]")[0]
+    assert sinks.drop_superseded(spark, path) == 3 and counts() == {("a/1", "Status Check"): 2, ("b", "Status Check"): 2}
     entries = sinks.audit_entries(df, "UPLOAD", F.lit("u"), F.col("id"), F.struct("status"), NOW)
     sinks.write_audit(entries, str(tmp_path / "audit"))
     assert spark.read.parquet(str(tmp_path / "audit")).select("id").distinct().count() == 2
@@ -153,3 +160,60 @@ def arriving_rows(spark):
 def test_expired_rows_and_stored_tables(spark, tmp_path):
     spark.range(3).write.orc(str(tmp_path / "t"))
     assert documents.table(spark, str(tmp_path / "t"), "orc").count() == 3
+
+
+def _side(spark, rows):
+    return spark.createDataFrame(rows, "id string, status string, n long")
+
+
+def test_only_ranges_that_differ_are_compared(spark):
+    old = [(f"k{i}", "x", i if i % 3 else None) for i in range(2000)]
+    new = [r for r in old if r[0] not in ("k5", "k1500")] + [("new", None, 1), (None, "no key", 1)]
+    new[7] = ("k8", "y", new[7][2])
+    a, b = _side(spark, old + [(None, "no key", 1)]), _side(spark, new).repartition(3)
+    ranges = changes.differing_ranges(a, b).count()
+    assert 1 <= ranges <= 4
+    got = changes.range_changes(a, b, "t", NOW).select("action", "entity_id").collect()
+    assert {tuple(r) for r in got} >= {("DELETE", "k5"), ("DELETE", "k1500"), ("INSERT", "new"), ("UPDATE", "k8")}
+    assert {r["action"] for r in got if r["entity_id"] not in ("k5", "k1500", "new", "k8")} <= set()
+    assert changes.range_changes(a, a.repartition(5), "t", NOW).count() == 0
+
+
+def test_tombstones_delete_in_streams(spark, tmp_path):
+    table = _side(spark, [("a", "x", 1), ("b", "x", 2), ("c", "x", 3)])
+    rows = [("a", "x", 1, False), ("b", None, None, True), ("c", "y", 3, None), ("d", "z", 4, False), ("e", None, None, True)]
+    spark.createDataFrame(rows, "id string, status string, n long, gone boolean").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("id string, status string, n long, gone boolean").parquet(f"{tmp_path}/in")
+    changes.streamed_changes(table, stream, "t", f"{tmp_path}/out", f"{tmp_path}/check", tombstone="gone").awaitTermination()
+    got = {(r["action"], r["entity_id"], r["new_data"] is None) for r in spark.read.parquet(f"{tmp_path}/out/batch=*").collect()}
+    assert got == {("DELETE", "b", True), ("UPDATE", "c", False), ("INSERT", "d", False)}
+
+
+def test_landed_files_equal_the_batch_form(spark, tmp_path):
+    from test_extract import REPORT
+
+    texts = {"one.pdf": REPORT, "two.doc": REPORT.replace("52", "61"), "short.pdf": "too short", "three.exe": REPORT + "more", "copy.pdf": REPORT}
+    for name, text in texts.items():
+        folder = tmp_path / "landing" / f"name={name}"
+        folder.mkdir(parents=True)
+        (folder / "part-0.txt").write_bytes(("\ufeff" if name == "two.doc" else "").encode() + text.encode() + b"\n")
+    out = lambda df, name: sorted(map(str, drain(spark, df, name).collect()))
+    parsed = intake.parsed_uploads(intake.landed_uploads(spark, f"{tmp_path}/landing"))
+    rows = drain(spark, parsed.select("name", "reason", "status", "patient_age", "text"), "landed").collect()
+    assert len(rows) == 4 and {r["text"] for r in rows} == set(texts.values())
+    assert {(r["reason"], r["status"], r["patient_age"]) for r in rows} == {
+        (None, "SUCCESS", "52"), (None, "SUCCESS", "61"), (None, "EXTRACTION_FAILED", None), ("File extension not allowed: exe", "SUCCESS", "52"),
+    }
+    checked = intake.checked_uploads(intake.landed_uploads(spark, f"{tmp_path}/landing")).select("patient_age", "overall_status", "completeness_score")
+    batch = intake.checked_reports(spark.createDataFrame([(str(i), t) for i, t in enumerate([REPORT, texts["two.doc"], "too short"])], "doc_id string, text string"))
+    assert out(checked, "checked") == sorted(map(str, batch.select("patient_age", "overall_status", "completeness_score").collect()))
+
+
+def test_sql_functions(spark):
+    from caselight.functions import registered
+
+    assert set(registered.register(spark)) == set(registered.FUNCTIONS)
+    registered.register(spark)
+    (r,) = spark.sql("""SELECT edit_similarity('abcd', 'abce') AS s, edit_similarity('', '') AS none, edit_similarity(NULL, 'a') AS missing, normalized_text('  A-b  C ') AS t, match_confidence(0.96) AS c,
+        narrative_score('Symptoms 2 days after; stopped drug, resolved') AS n, narrative_score(NULL) AS nothing, causality_probability(5) AS p, priority_level(9) AS level""").collect()
+    assert (r.s, r.none, r.missing, r.t, r.c, r.n, r.nothing, r.p, r.level) == (0.75, 0.0, 0.0, "ab c", "HIGH", 4, 0, "Possible", "CRITICAL")
