@@ -1,8 +1,9 @@
 """Threshold-scaled document fingerprints.
 
-A fingerprint keeps every shingle hash below a fixed fraction of the hash range, and always the smallest one. It
-grows with the document, unions of fingerprints are fingerprints of unions, and the share of a small document's
-hashes found in a large one's estimates containment however unequal they are.
+A fingerprint keeps every shingle hash below a fixed fraction of the hash range, and never fewer than a document's FLOOR
+smallest ones. It holds all hashes of a short document, grows with a long one, and unions of fingerprints give the
+fingerprints of unions. Two are compared below the lower of their thresholds, where both know every hash: the share of a small
+document's hashes found in a large one's estimates containment however unequal they are.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from caselight.llm.common import applied, buffers, mixed, slabs, span_hashes, word_spans
 from caselight.sources.shipping import ship
 
-SHINGLE, SCALE = 5, 8
+SHINGLE, SCALE, FLOOR = 5, 8, 256
 #: Bytes handled at once; a longer document is handled in overlapping runs of words of this size.
 SLAB = 1 << 20
 #: Rows taken out of an Arrow batch at once.
@@ -66,7 +67,7 @@ def _runs(raw: np.ndarray):
 
 
 def sketches(texts: pa.Array, scale: int = SCALE) -> list[np.ndarray]:
-    """Fingerprint of every text: its sorted distinct hashes below 2^64 / scale, and its smallest hash; empty without words."""
+    """Fingerprint of every text: its sorted distinct hashes that are below 2^64 / scale or among its FLOOR smallest; empty without words."""
     raw, offsets = buffers(texts)
     limit = np.uint64(2**64 // scale - 1)
     out: list[np.ndarray] = []
@@ -82,22 +83,12 @@ def sketches(texts: pa.Array, scale: int = SCALE) -> list[np.ndarray]:
 
 
 def _trimmed(h: np.ndarray, limit: np.uint64) -> np.ndarray:
-    return h[: max(1, int(np.searchsorted(h, limit, "right")))]
+    return h[: max(FLOOR, int(np.searchsorted(h, limit, "right")))]
 
 
 def _kept(h: np.ndarray, doc: np.ndarray, n: int, limit: np.uint64) -> list[np.ndarray]:
-    if not len(h):
-        return [np.zeros(0, np.uint64)] * n
-    first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-    least = np.zeros(n, np.uint64)
-    least[doc[first]] = np.minimum.reduceat(h, first)
-    keep = (h <= limit) | (h == least[doc])
-    h, doc = h[keep], doc[keep]
-    order = np.lexsort((h, doc))
-    h, doc = h[order], doc[order]
-    new = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))
-    h, doc = h[new], doc[new]
-    return np.split(h, np.searchsorted(doc, np.arange(1, n)))
+    ends = np.searchsorted(doc, np.arange(n + 1))
+    return [_trimmed(np.unique(h[a:b]), limit) for a, b in zip(ends, ends[1:])]
 
 
 def as_hex(sketch: np.ndarray) -> str:
@@ -105,16 +96,27 @@ def as_hex(sketch: np.ndarray) -> str:
     return sketch.astype(">u8").tobytes().hex()
 
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """Share of the smaller fingerprint's hashes that the other has too; 1 for two empty ones, 0 if one is empty."""
+def _known(h: np.ndarray, limit: np.uint64) -> np.uint64:
+    """The hash up to which a fingerprint holds all hashes of its document."""
+    return np.uint64(2**64 - 1) if len(h) < FLOOR else max(limit, h[-1])
+
+
+def containment(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> float:
+    """Share of the smaller fingerprint's hashes that the other has too, among hashes that both know.
+
+    1 for equal fingerprints, two empty ones included; 0 if one is empty or has no hash that both know.
+    """
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    return len(np.intersect1d(a, b, assume_unique=True)) / min(len(a), len(b))
+    limit = np.uint64(2**64 // scale - 1)
+    top = min(_known(a, limit), _known(b, limit))
+    a, b = a[: np.searchsorted(a, top, "right")], b[: np.searchsorted(b, top, "right")]
+    return len(np.intersect1d(a, b, assume_unique=True)) / max(1, min(len(a), len(b)))
 
 
 def merged(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> np.ndarray:
     """The fingerprint of two documents taken together, short of the shingles that would span both."""
-    return _trimmed(np.union1d(a, b), np.uint64(2**64 // scale - 1)) if len(a) or len(b) else a
+    return _trimmed(np.union1d(a, b), np.uint64(2**64 // scale - 1))
 
 
 def fingerprints(docs: DataFrame, text: str = "text", column: str = "fingerprint", scale: int = SCALE) -> DataFrame:
@@ -133,11 +135,23 @@ def hashes_of(fingerprint: Column) -> Column:
     return F.filter(F.regexp_extract_all(fingerprint, F.lit("([0-9a-f]{16})"), F.lit(1)), lambda h: h != "")
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Containment of two fingerprint columns."""
-    x, y = hashes_of(a), hashes_of(b)
-    least = F.least(F.size(x), F.size(y))
-    return F.when(least > 0, F.size(F.array_intersect(x, y)) / least).otherwise((F.size(x) == F.size(y)).cast("double"))
+def likeness(a: Column, b: Column, scale: int = SCALE) -> Column:
+    """Containment of two fingerprint columns, as ``containment`` has it; null if one is null."""
+    limit = f"{2**64 // scale - 1:016x}"
+
+    def known(h: Column) -> Column:
+        return F.when(F.size(h) < FLOOR, "f" * 16).otherwise(F.greatest(F.lit(limit), F.element_at(h, -1)))
+
+    def of(pair: Column) -> Column:
+        x, y = pair["x"], pair["y"]
+        top = F.least(known(x), known(y))
+        x, y = F.filter(x, lambda h: h <= top), F.filter(y, lambda h: h <= top)
+        least = F.least(F.size(x), F.size(y))
+        shared = F.when(least > 0, F.size(F.array_intersect(x, y)) / least).otherwise(F.lit(0.0))
+        return F.when((F.size(pair["x"]) == 0) & (F.size(pair["y"]) == 0), F.lit(1.0)).otherwise(shared)
+
+    both = F.struct(hashes_of(a).alias("x"), hashes_of(b).alias("y"))
+    return F.when(a.isNotNull() & b.isNotNull(), F.element_at(F.transform(F.array(both), of), 1))
 
 
 # ---------------------------------------------------------------- documents and the one that follows
@@ -183,7 +197,8 @@ def edited(text: str, following: str) -> str:
 def compared(docs: DataFrame, id: str = "doc_id", text: str = "text", scale: int = SCALE) -> DataFrame:
     """Fingerprints of every document and its edited text, and their likeness to each other and to the next document's.
 
-    Null texts count as empty. A single document follows itself. An empty table gives an empty one. Other columns are not read.
+    Null texts count as empty. A single document follows itself. Rows of one id follow each other by text. An empty table gives an
+    empty one. Very long texts are hashed in runs; other columns are not read.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = successors(docs, id, text).repartition(parts, "bucket").sortWithinPartitions("bucket", "copy", F.col("id").desc_nulls_last(), "text")
@@ -214,7 +229,7 @@ def _compared(ids: list, copies: list, texts: list[str], scale: int) -> pa.Recor
         pa.array([ids[i] for i in keep], pa.int64()), pa.array([len(texts[i]) for i in keep], pa.int64()),
         pa.array([hashlib.sha256(t.encode()).hexdigest() for t in new], pa.string()),
         pa.array([as_hex(own[i]) for i in keep], pa.string()), pa.array([as_hex(s) for s in other], pa.string()),
-        pa.array([containment(own[i], s) for i, s in zip(keep, other)], pa.float64()),
-        pa.array([containment(own[i], own[i + 1]) for i in keep], pa.float64()),
+        pa.array([containment(own[i], s, scale) for i, s in zip(keep, other)], pa.float64()),
+        pa.array([containment(own[i], own[i + 1], scale) for i in keep], pa.float64()),
     ]
     return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])

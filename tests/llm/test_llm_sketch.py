@@ -33,7 +33,7 @@ def test_equal_shingle_sets_have_equal_sketches_and_sizes_scale():
     assert (found[-1] == found[-2]).all()
     scaled = sketch.sketches(pa.array(texts), 8)
     for f, s in zip(found, scaled):
-        assert s.tolist() == sorted(h for h in f.tolist() if h < 2**61 or h == f.min())
+        assert s.tolist() == [h for i, h in enumerate(sorted(f.tolist())) if h < 2**61 or i < sketch.FLOOR]
     assert 450 < len(scaled[6]) < 800
 
 
@@ -60,8 +60,44 @@ def test_containment_of_unequal_documents_and_merging():
     assert sketch.containment(a, a) == 1 and sketch.containment(a, a[:0]) == 0 and sketch.containment(a[:0], a[:0]) == 1
 
 
+def test_short_texts_are_compared_in_full():
+    for n in (5, 9, 40, 200):
+        for seed in range(20):
+            text = made(seed, n, 10**6)
+            cut = " ".join(text.split()[: n - n // 3])
+            longer = made(seed + 100, 50, 10**6) + " " + text
+            a, b, c = sketch.sketches(pa.array([text, cut, longer]))
+            exact = len(shingles(text) & shingles(cut)) / min(len(shingles(text)), len(shingles(cut)))
+            assert abs(sketch.containment(a, b) - exact) < 1e-9
+            assert sketch.containment(a, c) == 1
+
+
+def test_a_short_text_in_a_longer_one():
+    lost = 0
+    for seed in range(100):
+        text, rest = made(seed, 14, 10**6), made(seed + 1000, 500, 10**6)
+        a, b = sketch.sketches(pa.array([text, rest + " " + text]))
+        got = sketch.containment(a, b)
+        lost += got == 0
+        assert got in (0, 1)
+    assert lost <= 3
+
+
+def test_merging_gives_the_fingerprint_of_the_union():
+    for i, (m, n) in enumerate([(3, 9), (100, 170), (200, 3000), (4000, 2500), (0, 30), (0, 0)]):
+        one, two = shingle_hash_set(made(i, m, 10**6)), shingle_hash_set(made(i + 50, n, 10**6))
+        limit = 2**61 - 1
+        rule = lambda h: [x for k, x in enumerate(sorted(h)) if x <= limit or k < sketch.FLOOR]
+        union = sketch.merged(np.array(rule(one), np.uint64), np.array(rule(two), np.uint64))
+        assert union.tolist() == rule(one | two)
+
+
+def shingle_hash_set(text):
+    return set(sketch.sketches(pa.array([text]), 1)[0].tolist())
+
+
 def test_column_functions(spark):
-    texts = [made(3, 800), made(3, 800) + " " + made(5, 400), None]
+    texts = [made(3, 800), made(3, 800) + " " + made(5, 400), made(3, 30), made(3, 9), "one word", made(9, 5000), None]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     rows = sketch.fingerprints(df).collect()
     own = sketch.sketches(pa.array(texts))

@@ -44,6 +44,22 @@ def test_windows_cover_every_word():
         assert all(b - a == t.STRIDE for a, b, o, p in zip(first, first[1:], owner, owner[1:]) if o == p)
 
 
+def test_passages_lie_whole_in_a_window_and_logits_are_those_of_the_network():
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{rng.integers(0, 300)}" for _ in range(n)) for n in (1, 7, 31, 32, 33, 40, 41, 400)]
+    words, model = made(texts), t.initial(4)
+    first, end, owner = t.windows(words["doc"], len(texts))
+    sizes = np.bincount(words["doc"])
+    for i, n in enumerate(sizes):
+        base = sizes[:i].sum()
+        for a in range(base, base + max(1, n - 24)):
+            assert any(f <= a and min(a + 25, base + n) <= e for f, e, o in zip(first, end, owner) if o == i)
+    at = first[:, None] + np.arange(t.WINDOW)
+    x = t.embedded(model, words["word"], words["grams"], words["offset"])
+    plain = t.forward(model, x, np.minimum(at, len(x) - 1), at < end[:, None])[0]
+    assert np.allclose(t.window_logits(model, words, first, end), plain, atol=1e-5)
+
+
 def test_gradients():
     rng = np.random.default_rng(3)
     model = {k: v.astype(np.float64) for k, v in t.initial(2).items()}
