@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caselight.llm.common import applied, cached
+from caselight.llm.common import applied, cached, free
 from caselight.sources.staging import stage
 
 WINDOW = 10
@@ -103,7 +103,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     tests = benchmark.select(F.col(item).cast("string").alias("k"), F.col(item_text).alias("t")).where("t is not null")
     total = tests.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     passes = max(1, -(-total // limit))
-    hits = "__hits"
+    (hits,) = free(docs.withColumn(column, F.lit(None)), "__hits")
     out = docs.withColumn(hits, F.lit(None).cast(HITS))
     for p in range(passes):
         part = tests if passes == 1 else tests.where(F.pmod(F.xxhash64("k", "t"), F.lit(passes)) == p)

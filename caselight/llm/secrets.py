@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caselight.llm.common import free
+
 #: Fixed patterns of the base kinds, and the least length of what they match (of group 2 for assign).
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
@@ -62,18 +64,20 @@ def matches(docs: DataFrame, text: str, kind: str, pattern: str, column: str) ->
 
     Places follow from the lengths of what lies between matches; a text without a match is read once.
     """
-    found, gaps = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)), F.split(F.col(text), pattern, -1)
-    docs = docs.withColumn("__found", found).withColumn("__gaps", F.when(F.size("__found") > 0, F.transform(gaps, F.length)))
-    docs = docs.withColumn("__sizes", F.when(F.size("__found") > 0, F.transform(F.col("__found"), lambda s, i: F.element_at("__gaps", i + 1) + F.length(s))))
-    docs = docs.withColumn("__before", F.when(F.size("__found") > 0, running(F.col("__sizes"))))
+    found, gaps, sizes, before = free(docs.withColumn(column, F.lit(None)), "__found", "__gaps", "__sizes", "__before")
+    some, at = F.size(found) > 0, lambda name, i: F.element_at(name, i + 1)
+    docs = docs.withColumn(found, F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)))
+    docs = docs.withColumn(gaps, F.when(some, F.transform(F.split(F.col(text), pattern, -1), F.length)))
+    docs = docs.withColumn(sizes, F.when(some, F.transform(F.col(found), lambda s, i: at(gaps, i) + F.length(s))))
+    docs = docs.withColumn(before, F.when(some, running(F.col(sizes))))
     spans = F.transform(
-        F.col("__found"),
+        F.col(found),
         lambda s, i: F.struct(
-            (F.element_at("__before", i + 1) + F.element_at("__gaps", i + 1)).alias("start"), F.lit(KINDS.index(kind) if kind in KINDS else -1).alias("kind_number"),
-            (F.element_at("__before", i + 1) + F.element_at("__gaps", i + 1) + F.length(s)).alias("end"), s.alias("found"),
+            (at(before, i) + at(gaps, i)).alias("start"), F.lit(KINDS.index(kind) if kind in KINDS else -1).alias("kind_number"),
+            (at(before, i) + at(gaps, i) + F.length(s)).alias("end"), s.alias("found"),
         ),
     )
-    return docs.withColumn(column, F.when(F.size("__found") > 0, spans).otherwise(F.array().cast(_SPAN))).drop("__found", "__gaps", "__sizes", "__before")
+    return docs.withColumn(column, F.when(some, spans).otherwise(F.array().cast(_SPAN))).drop(found, gaps, sizes, before)
 
 
 def _weight(n: Column) -> Column:
@@ -150,23 +154,25 @@ def scan(docs: DataFrame, text: str = "text", column: str = "secrets") -> DataFr
     """Add an array of (start, kind, end) of secrets, by start and then kind, in code points, end exclusive.
 
     Null and empty texts have none. Base spans of different kinds may overlap and all stay; an added span is left out if
-    it touches a base span. A column named like ``column`` is replaced; names that begin with two underscores are used on the way.
+    it touches a base span. A column named like ``column`` is replaced; others stay, whatever
+    they are called. Very long texts are scanned whole; equal texts have equal spans.
     """
-    own = docs.withColumn("__text", F.coalesce(F.col(text), F.lit("")))
-    own = matches(own, "__text", "assign", ASSIGN, "__assign")
-    own = matches(own, "__text", "access", ACCESS, "__access")
-    own = matches(own, "__text", "hex", HEX, "__hex")
-    own = matches(own, "__text", "candidate", CANDIDATE, "__candidate")
-    long = F.filter("__assign", lambda s: F.length(F.regexp_extract(s["found"], ASSIGN, 2)) >= ASSIGN_LEAST)
-    own = own.withColumn("__base", F.transform(F.concat(long, F.col("__access"), F.col("__hex")), lambda s: s.dropFields("found")))
+    whole, assign, access, hexes, candidate, base, more = free(docs.withColumn(column, F.lit(None)), "__text", "__assign", "__access", "__hex", "__candidate", "__base", "__added")
+    own = docs.withColumn(whole, F.coalesce(F.col(text), F.lit("")))
+    own = matches(own, whole, "assign", ASSIGN, assign)
+    own = matches(own, whole, "access", ACCESS, access)
+    own = matches(own, whole, "hex", HEX, hexes)
+    own = matches(own, whole, "candidate", CANDIDATE, candidate)
+    long = F.filter(assign, lambda s: F.length(F.regexp_extract(s["found"], ASSIGN, 2)) >= ASSIGN_LEAST)
+    own = own.withColumn(base, F.transform(F.concat(long, F.col(access), F.col(hexes)), lambda s: s.dropFields("found")))
     allowed = lambda s: F.lit(False) if not ALLOWED else _any([s["found"].rlike(p) for p in ALLOWED])
-    free = F.filter("__candidate", lambda c: ~allowed(c) & ~F.exists("__base", lambda b: (b["start"] <= c["start"]) & (b["end"] >= c["end"])))
-    windows = F.flatten(F.transform(free, lambda c: F.transform(window_spans(c["found"]), lambda w: F.struct((w["start"] + c["start"]).alias("start"), w["kind_number"].alias("kind_number"), (w["end"] + c["start"]).alias("end")))))
-    added = F.filter(windows, lambda w: ~F.exists("__base", lambda b: (b["start"] < w["end"]) & (b["end"] > w["start"])))
-    own = own.withColumn("__added", F.when(F.size("__candidate") > 0, added).otherwise(F.array().cast("array<struct<start:int,kind_number:int,end:int>>")))
+    loose = F.filter(candidate, lambda c: ~allowed(c) & ~F.exists(base, lambda b: (b["start"] <= c["start"]) & (b["end"] >= c["end"])))
+    windows = F.flatten(F.transform(loose, lambda c: F.transform(window_spans(c["found"]), lambda w: F.struct((w["start"] + c["start"]).alias("start"), w["kind_number"].alias("kind_number"), (w["end"] + c["start"]).alias("end")))))
+    added = F.filter(windows, lambda w: ~F.exists(base, lambda b: (b["start"] < w["end"]) & (b["end"] > w["start"])))
+    own = own.withColumn(more, F.when(F.size(candidate) > 0, added).otherwise(F.array().cast("array<struct<start:int,kind_number:int,end:int>>")))
     names = F.array(*[F.lit(k) for k in KINDS])
-    listed = F.transform(F.array_sort(F.concat("__base", "__added")), lambda s: F.struct(s["start"].alias("start"), F.element_at(names, s["kind_number"] + 1).alias("kind"), s["end"].alias("end")))
-    return own.withColumn(column, listed).drop("__text", "__assign", "__access", "__hex", "__candidate", "__base", "__added")
+    listed = F.transform(F.array_sort(F.concat(base, more)), lambda s: F.struct(s["start"].alias("start"), F.element_at(names, s["kind_number"] + 1).alias("kind"), s["end"].alias("end")))
+    return own.withColumn(column, listed).drop(whole, assign, access, hexes, candidate, base, more)
 
 
 def _any(conditions: list[Column]) -> Column:

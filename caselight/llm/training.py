@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caselight.llm.common import shares
+from caselight.llm.common import free, shares
 
 
 def labelled(labels: DataFrame, keep: Column, label: str, id: str = "doc_id") -> DataFrame:
@@ -21,6 +21,7 @@ def sample(marked: DataFrame, most: int) -> DataFrame:
 
 def texts_of(docs: DataFrame, chosen: DataFrame, *columns: Column, id: str = "doc_id") -> DataFrame:
     """(id, y, columns) of the chosen documents, one row per id; ``chosen`` is a bounded sample and is broadcast."""
-    picked = F.broadcast(chosen.select(F.col("id").alias("__id"), F.col("y").alias("__y")))
-    rows = docs.join(picked, F.col(id) == F.col("__id")).select(F.col("__id").alias("id"), F.col("__y").alias("y"), *columns)
+    own, y = free(docs, "__id", "__y")
+    picked = F.broadcast(chosen.select(F.col("id").alias(own), F.col("y").alias(y)))
+    rows = docs.join(picked, F.col(id) == F.col(own)).select(F.col(own).alias("id"), F.col(y).alias("y"), *columns)
     return rows.dropDuplicates(["id"])

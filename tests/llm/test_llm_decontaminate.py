@@ -75,3 +75,11 @@ def test_long_text_and_empty_tables(spark):
     assert d.contamination(df.limit(0), items).collect() == []
     clean = d.contamination(df, items.limit(0)).first()["contamination"]
     assert (clean["n_words"], clean["n_hit"], clean["items"]) == (800011, 0, [])
+
+
+def test_a_column_named_like_one_used_on_the_way_stays(spark):
+    docs = spark.createDataFrame([(1, "one two three", "a"), (2, None, None)], "doc_id long, text string, __hits string")
+    tests = spark.createDataFrame([("i", "two three"), ("j", "nothing")], "item_id string, text string")
+    for limit in (1 << 24, 4):
+        got = {r["doc_id"]: (r["__hits"], r["c"]["n_hit"]) for r in d.contamination(docs, tests, column="c", limit=limit).collect()}
+        assert got == {1: ("a", 2), 2: (None, 0)}

@@ -125,5 +125,16 @@ def test_running():
         assert df.select(secrets.running(F.col("a"))).first()[0] == [sum(range(i)) for i in range(n)]
 
 
+def test_columns_that_clash_with_those_used_on_the_way(spark):
+    names = ["__text", "__assign", "__access", "__hex", "__candidate", "__base", "__added", "__found", "__gaps", "__sizes", "__BEFORE"]
+    t = "token = abcdefghijklmnop and 0123456789abcdef01"
+    df = spark.createDataFrame([(1, t, *names), (2, None, *names)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    rows = sorted(secrets.scan(df, column="__sizes2").collect())
+    assert [[r[n] for n in names] for r in rows] == [names, names]
+    for column in ("__text", "__base", "__found"):
+        got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r[column]] for r in secrets.scan(df, column=column).collect()}
+        assert got == {1: plain(t), 2: []}
+
+
 def test_empty_table(spark):
     assert secrets.scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []

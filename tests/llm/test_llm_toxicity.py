@@ -105,7 +105,7 @@ def test_held_out_accuracy(spark):
 
 def test_odd_rows(spark):
     rows = [(i, x, "x") for i, x in enumerate(TEXTS)] + [(0, TEXTS[0], "x"), (None, "last", "x"), (50, "word " * 300000, "x")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string").withColumns({"__id": F.lit("x"), "__y": F.lit(1)})
     labels = spark.createDataFrame([(0, 1), (3, 0), (5, 0), (1, 1), (None, 1), (6, None)], "doc_id long, toxic int")
     got = t.score(docs, t.learn(docs, labels, F.lit(True))).collect()
     assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
