@@ -19,6 +19,7 @@ from caselight.operators.rules import check_cases, check_reports
 from caselight.plans import catalog_clean as CC
 from caselight.plans.catalog_clean import _flat_reports, adr_sql, ambiguous_sql, clean_text_sql, normal_date_sql
 from caselight.plans.catalog_core import _ISSUES, _ROLLUP, member, trimmed
+from caselight.plans.catalog_dups import FILED_LINKS
 from caselight.plans.catalog_text import _report_column
 from caselight.plans.registry import CATALOG
 from caselight.schemas import DATE_FIELDS, FRAMEWORK_NAMES, PROCESSING_STAGES, REPORT_FIELDS, TEXT_FIELDS
@@ -214,6 +215,21 @@ def _(t):
     return out.withColumns({c: F.col(c).cast("bigint") for c in ("passed_checks", "failed_checks", "skipped_checks")})
 
 
+_FILED = "coalesce(applicant_name <> '', FALSE) OR coalesce(applicant_email <> '', FALSE) OR coalesce(phone <> '', FALSE)"
+
+
+@add("r5_review_filings", ["batch_filings"], f"""
+WITH {FILED_LINKS}
+SELECT id, ({_FILED}) AS has_form, CASE WHEN ({_FILED}) AND coalesce(n, 0) > 0 THEN 'FAIL' ELSE 'PASS' END AS status,
+  CASE WHEN {_FILED} THEN '{{"duplicates_found":' || coalesce(n, 0) || '}}' ELSE '{{"reason":"No form data available"}}' END AS result
+FROM batch_filings b LEFT JOIN linked l ON b.pos = l.pos""")
+def _(t):
+    subs = t.view("batch_filings").withColumn("drug_count", F.size(F.split("drug_list", ",")))
+    forms = subs.select("id", "applicant_name", "applicant_email", "phone")
+    found = T.review_results(T.review_submissions(forms, AS_OF, flagged=D.flagged_submissions(subs))).where("check_type = 'Duplicate Detection'")
+    return found.select(F.col("submission_id").alias("id"), (~F.contains("result", F.lit("reason"))).alias("has_form"), "status", "result")
+
+
 _ALL_PARTS = [CC._DATES_SQL, CC._AGE_SQL, CC._DOSE_SQL, CC._SCORE_SQL, CC._GENDER_SQL]
 
 
