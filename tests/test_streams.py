@@ -6,7 +6,9 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from caselight.plans import load_catalog
 from caselight.streaming import keyed, state, toplists
+from caselight.streaming.intake import table_stream
 from caselight.streaming.sinks import append_to, current, drain, finish, write_batches
 
 
@@ -143,3 +145,17 @@ def test_top_values_per_window_equal_a_full_count(spark, tmp_path):
         want += [(w, i, v, n) for i, (v, n) in enumerate(best, 1)]
     got = toplists.top_values_per_window(spark, f"{tmp_path}/out").collect()
     assert sorted((int(r["window_start"].timestamp()), r["rank"], r["value"], r["n"]) for r in got) == want
+
+
+def test_a_table_that_is_a_folder_of_files_is_streamed(spark, tmp_path):
+    rows = spark.range(0, 40, 1, 4).selectExpr("id AS event_id", "id % 7 AS user_id", "concat('t', id % 3) AS event_type", "timestamp_seconds(id) AS ts")
+    rows.write.parquet(str(tmp_path / "many/events.parquet"))
+    spark.range(3).write.parquet(str(tmp_path / "many/others.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "made"))
+    (tmp_path / "one").mkdir()
+    next((tmp_path / "made").glob("part-*")).rename(tmp_path / "one/events.parquet")
+    for kind in ("many", "one"):
+        stream = table_stream(spark, str(tmp_path / kind), "events.parquet", rows.schema)
+        assert sorted(r[0] for r in drain(spark, stream.select("event_id"), "folder").collect()) == list(range(40))
+        last = load_catalog()["st2_latest_status"](spark, str(tmp_path / kind)).collect()
+        assert sorted(map(tuple, last)) == sorted((i % 7, f"t{i % 3}") for i in range(33, 40))
