@@ -1,9 +1,11 @@
 """The shared folder on masters other than a plain local one."""
 
+import os
 from types import SimpleNamespace
 
 import pytest
 
+from caselight.plans import load_catalog
 from caselight.sources import staging
 
 
@@ -29,3 +31,19 @@ def test_a_folder_the_driver_cannot_see_is_refused(spark, tmp_path, monkeypatch)
     monkeypatch.setattr(staging, "_shared", lambda *_: False)
     with pytest.raises(ValueError, match="does not see"):
         staging.work_dir(_session(spark, "spark://host:7077", f"file://{tmp_path}/own"))
+
+
+def test_a_query_that_stages_runs_on_another_master(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    monkeypatch.setattr(staging, "_SHARED", set())
+    names = ["almond azure", "almond azures", "plum", None]
+    spark.createDataFrame(list(enumerate(names, 5)), "p_partkey long, p_name string").selectExpr("*", "'b' AS p_brand").write.parquet(str(tmp_path / "part.parquet"))
+    assert load_catalog()["j2_duplicate_drugs"](spark, str(tmp_path)).count()
+    assert staging._SHARED
+
+
+def test_a_local_session_without_a_named_folder_keeps_one_of_its_own(spark):
+    own = _session(spark, "local[2]")
+    own.sparkContext.applicationId = "app-own"  # its settings cannot be changed, as those of a real session cannot
+    found = staging.work_dir(own)
+    assert found == staging.work_dir(own) and os.path.isdir(found)
