@@ -7,9 +7,11 @@ piece finds its place from its rank among the pieces of its length.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -52,18 +54,27 @@ def tokenizer_file(path: str):
     return Tokenizer.from_file(path.removesuffix(".tiktoken") + ".json")
 
 
+def added_tokens(path: str) -> list[str]:
+    """The added tokens of the tokenizer file beside a rank file; the rest of the file is not parsed."""
+    with open(path.removesuffix(".tiktoken") + ".json", encoding="utf-8") as file:
+        content = file.read()
+    # A quote inside a token is escaped, so this is the member itself.
+    found = re.search(r'"added_tokens"\s*:\s*(?=\[)', content)
+    return [t["content"] for t in json.JSONDecoder().raw_decode(content, found.end())[0]] if found else []
+
+
 def encoder(path: str):
     """Function from a text to the ids that the tokenizer file gives it.
 
     Texts that hold an added token, which the file takes as one id, and texts with a very long run of white space go to the file itself.
     """
-    whole = tokenizer_file(path)
-    added = re.compile("|".join(re.escape(t.content) for t in whole.get_added_tokens_decoder().values()) or r"(?!)")
+    whole = cache(lambda: tokenizer_file(path))  # many times the size of the ranks, and most workers never need it
+    added = re.compile("|".join(map(re.escape, added_tokens(path))) or r"(?!)")
     quick = tokenizer(path).encode_ordinary
 
     def encode(text: str) -> list[int]:
         if added.search(text) or len(text) >= BLANKS and _BLANK_RUN.search(text):
-            return whole.encode(text, add_special_tokens=False).ids
+            return whole().encode(text, add_special_tokens=False).ids
         return quick(text)
 
     return encode
@@ -94,7 +105,8 @@ def pieces(docs: DataFrame, id: str = "doc_id", text: str = "text", capacity: in
         part, seen = TaskContext.get().partitionId(), Counter()
         for batch in batches:
             out = []
-            for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for key, t in zip(batch.column(0), batch.column(1)):  # a text at a time, as a batch of them takes much memory
+                key, t = key.as_py(), t.as_py()
                 ids = np.array([*encode(t or ""), end], "<u4")
                 for n, (start, length) in enumerate(cut(len(ids), capacity)):
                     out.append((key, n, start, length, zlib.crc32(ids[start : start + length].tobytes()), part, seen[length]))

@@ -135,3 +135,15 @@ def test_pack_round_trip(spark, small):
 
 def test_empty_table(spark):
     assert p.pack(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_the_tokenizer_file_is_loaded_for_the_texts_that_need_it_only(monkeypatch):
+    path, loaded, load = p.vocabulary(), [], p.tokenizer_file
+    whole = load(path)
+    assert sorted(p.added_tokens(path)) == sorted(x.content for x in whole.get_added_tokens_decoder().values())
+    monkeypatch.setattr(p, "tokenizer_file", lambda at: loaded.append(at) or load(at))
+    encode = p.encoder(path)
+    assert encode("plain text") == whole.encode("plain text", add_special_tokens=False).ids and not loaded
+    for text in (f"a{p.added_tokens(path)[0]}b",) * 2:
+        assert encode(text) == whole.encode(text, add_special_tokens=False).ids
+    assert loaded == [path]
