@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from caselight.operators import extract as X
@@ -149,3 +151,28 @@ def test_labels_inside_values_words_and_lines(spark):
     ]
     whole = X.with_labels(docs(spark, text), whole_word=True).first()["_found"]
     assert [f["label"] for f in whole] == ["drug name", "dose", "age", "dosage", "co-medications", "frequency", "severity", "id"]
+
+
+def test_label_columns_hold_the_first_value_of_each_layout(spark):
+    """Fields read a column per label; it must say what the places of the label say."""
+    pieces = ["Drug Name", "Age", "dosage", "Co-medications", "Dr.", "Onset date", ":", " = ", "-", "\n", "\n\n ", " ", "x1", "and The Label: y", " ", "İ"]
+    rng = random.Random(5)
+    texts = ["".join(rng.choices(pieces, k=14)) for _ in range(300)] + [None, ""]
+    for whole_word in (False, True):
+        rows = X.with_labels(docs(spark, *texts), whole_word=whole_word).collect()
+        assert any(r["_found"] for r in rows)
+        for r in rows:
+            for label in dict.fromkeys(x.lower() for x in X.KNOWN_LABELS):
+                mine = [f for f in r["_found"] or [] if f["label"] == label]
+                firsts = [next((f[n] for f in mine if f[n] is not None), None) for n in ("colon", "below", "dash")]
+                assert [v or None for v in r[f"_label_{label}"] or [None] * 3] == [v or None for v in firsts], (r["text"], label)
+
+
+def test_labels_are_found_by_plain_text_and_tables_dealt(spark, small, tmp_path):
+    """A single label's field runs no regex over all labels, and a table of one part is dealt to all cores."""
+    df = X.with_labels(docs(spark, "Age: 7" + "x" * 100)).select(X.labelled_field(["Age"], "age").alias("a"))
+    assert df.first()["a"] == "7"
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "contains(" in plan.lower() and "regexp_extract_all" not in plan and "reporter" not in plan
+    from caselight.plans.bindings import Tables
+    assert Tables(spark, small).dealt("orders").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
