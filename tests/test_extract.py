@@ -176,3 +176,24 @@ def test_labels_are_found_by_plain_text_and_tables_dealt(spark, small, tmp_path)
     assert "contains(" in plan.lower() and "regexp_extract_all" not in plan and "reporter" not in plan
     from caselight.plans.bindings import Tables
     assert Tables(spark, small).dealt("orders").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_labels_that_never_decide_are_left_out(spark):
+    """The first listed label inside a name decides, whichever labels are tried."""
+    labels = X.CASE_LABELS
+    fewer = X._deciding(labels)
+    assert len(fewer) < len(labels)
+    words = sorted({w for label, _ in labels for w in label.split()} | {"x", "s"})
+    rng = random.Random(3)
+    for _ in range(3000):
+        name = rng.choice(["", " "]).join(rng.choices(words, k=3))
+        assert next((t for x, t in labels if x in name), None) == next((t for x, t in fewer if x in name), None), name
+
+
+def test_texts_are_split_at_markers_once(spark):
+    """Neither the number of blocks nor the filter on fields has a text split or a block parsed a second time."""
+    text = "Line listing\n" + "Case ID: A-1\nAge: 5\nCase B\nnone" + " x" * 50
+    out = X.parse_cases(docs(spark, text, "short", None), min_fields=2)
+    assert [(r.pos, r.case_id, r.patient_age) for r in out.collect()] == [(0, "A-1", "5")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "greatest(" not in plan and plan.count("substring_index") == 1
