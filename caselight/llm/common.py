@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -44,14 +46,29 @@ def shares(columns: list[Column]) -> Column:
 
 
 def cached(key, build: Callable):
-    """A value built once in a Python worker, such as an automaton or a compressor."""
+    """A value built once in a Python worker, such as an automaton or a compressor.
+
+    Workers outlive a stage: what other operators keep, by the first member of their keys, goes before a new operator builds its own.
+    """
     if key not in _CACHE:
-        if len(_CACHE) >= 8:
-            _CACHE.clear()
+        others = [k for k in _CACHE if k[0] != key[0]]
+        if others or len(_CACHE) >= 8:
+            for k in others or list(_CACHE):
+                del _CACHE[k]
+            released()
         _CACHE[key] = build()
     return _CACHE[key]
 
 
+def released() -> None:
+    """Give freed memory of this process back to the system, where its C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def applied(docs: DataFrame, run: Callable, kind: str, *columns: str) -> Column:
     """A column made by a function on Arrow arrays; the package is sent to the workers with it."""
     ship(docs.sparkSession)
