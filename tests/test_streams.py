@@ -159,3 +159,25 @@ def test_a_table_that_is_a_folder_of_files_is_streamed(spark, tmp_path):
         assert sorted(r[0] for r in drain(spark, stream.select("event_id"), "folder").collect()) == list(range(40))
         last = load_catalog()["st2_latest_status"](spark, str(tmp_path / kind)).collect()
         assert sorted(map(tuple, last)) == sorted((i % 7, f"t{i % 3}") for i in range(33, 40))
+
+
+def test_landing_files_are_written_by_all_parts(spark, tmp_path):
+    """One file is made for each document; with the table's own few parts few cores would write them."""
+    import glob
+
+    from caselight.plans import load_catalog
+    from caselight.plans.bindings import PARTS
+    from caselight.sources.staging import work_dir
+
+    rows = [(i, f"Drug Name: D{i}\n" + "x" * 120, "en", "s", 140) for i in range(24)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    before = set(glob.glob(f"{work_dir(spark).removeprefix('file:')}/caselight-st1f-*"))
+    spark.conf.set(PARTS, "4")
+    try:
+        out = load_catalog()["st1_landed_files"](spark, str(tmp_path))
+        assert out.count() == 24
+    finally:
+        spark.conf.unset(PARTS)
+    made = set(glob.glob(f"{work_dir(spark).removeprefix('file:')}/caselight-st1f-*")) - before
+    parts = {f.rsplit("/", 1)[-1][:10] for d in made for f in glob.glob(f"{d}/landing/name=*/part-*")}
+    assert len(parts) > 1
