@@ -170,6 +170,7 @@ def test_landing_files_are_written_by_all_parts(spark, tmp_path):
     from caselight.sources.staging import work_dir
 
     rows = [(i, f"Drug Name: D{i}\n" + "x" * 120, "en", "s", 140) for i in range(24)]
+    rows += [(1, "second text under an id", "en", "s", 23)]  # goes to the same file, as before
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     before = set(glob.glob(f"{work_dir(spark).removeprefix('file:')}/caselight-st1f-*"))
     spark.conf.set(PARTS, "4")
